@@ -9,9 +9,11 @@ fractional documents exchange mass (p times size, so words are conserved exactly
 probabilities that leave every p unchanged in expectation, until one of the two is integral. Only the other goes on.
 
 Reduction tree: documents are dealt to buckets of about FAN within (source, size class); each bucket leaves one residual at most, the
-residuals of a class meet in buckets of FAN again, and at last a source's classes are combined, large sizes first. About RESERVE
-documents of each class wait for that last step, so that small ones are left to absorb what large ones leave and the last residual
-(the only one rounded on its own) tends to be small. No bucket grows with the table, and a hot source is just more buckets.
+residuals of a class meet in buckets of FAN again. At the root a source's classes are combined, large sizes first; about RESERVE
+documents of each class wait for it. There each unit is paired with all that are smaller at once: they give or take its mass in
+proportion, so that even one very long document becomes integral, and only the smallest is rounded on its own. A document so long
+that the smaller ones can balance its mass in one direction only goes that way (there, nearness to the target goes before an unbiased
+draw). No bucket grows with the table, and a hot source is just more buckets.
 The random numbers are hashes of doc_ids and SEED: reruns and recomputed tasks agree.
 
 Edge cases: documents of size 0 take 0; each repeated row is a document of its own; a null doc_id takes part; a source without words has
@@ -97,10 +99,39 @@ def _let(s: str, up: str, down: str, u: str) -> str:
     return f"named_struct('c', {s}.c, 'x', {s}.x, 'done', {s}.done, 'up', {of(up)}, 'down', {of(down)}, 'u', {of(u)})"
 
 
-def _level(units: DataFrame, keys: list[str], seed: int) -> DataFrame:
+def _root(units: str, seed: int) -> str:
+    """SQL: round a source's last units, each against the pool of those after it. The pool's fractions are kept as the map
+    p -> a * p + b, its mass as m and its size as s, so a unit costs the same however many follow."""
+    u = f"pmod(xxhash64(t.x.key, {seed}), 9007199254740992) / 9007199254740992D"
+    full_up, full_down = f"t.up >= t.x.size * (1 - t.p) - {EPS}D", f"t.down >= t.x.size * t.p - {EPS}D"
+    rises = f"CASE WHEN {full_up} AND {full_down} THEN t.u * (t.up + t.down) < t.down WHEN {full_up} THEN true WHEN {full_down} THEN false ELSE t.p >= 0.5D END"
+    lets = [
+        "q -> named_struct('z', q.z, 'x', q.x, 'p', least(1D, greatest(0D, q.z.a * q.x.p + q.z.b)))",
+        "q -> named_struct('z', q.z, 'x', q.x, 'p', q.p, 'm', greatest(0D, q.z.m - q.p * q.x.size), 's', q.z.s - q.x.size)",
+        f"t -> named_struct('z', t.z, 'x', t.x, 'p', t.p, 'm', t.m, 's', t.s, 'u', {u}, 'up', least(t.x.size * (1 - t.p), t.m), 'down', least(t.x.size * t.p, greatest(0D, t.s - t.m)))",
+        f"""t -> CASE WHEN t.p < {EPS}D OR t.p > 1 - {EPS}D OR t.up + t.down < {EPS}D
+              THEN named_struct('x', t.x, 'z', t.z, 'p', t.p, 'u', t.u, 'a', t.z.a, 'b', t.z.b, 'm', t.m, 's', t.s)
+            WHEN {rises}
+              THEN named_struct('x', t.x, 'z', t.z, 'p', t.p + t.up / t.x.size, 'u', t.u, 'a', t.z.a * (1 - t.up / t.m), 'b', t.z.b * (1 - t.up / t.m), 'm', t.m - t.up, 's', t.s)
+            ELSE named_struct('x', t.x, 'z', t.z, 'p', t.p - t.down / t.x.size, 'u', t.u, 'a', t.z.a * (1 - t.down / (t.s - t.m)), 'b', t.z.b * (1 - t.down / (t.s - t.m)) + t.down / (t.s - t.m), 'm', t.m + t.down, 's', t.s)
+            END""",
+        f"""t -> named_struct('a', t.a, 'b', t.b, 'm', t.m, 's', t.s, 'done', concat(t.z.done, array(named_struct('id', t.x.id, 'size', t.x.size, 'extra',
+              CASE WHEN t.p < {EPS}D THEN 0 WHEN t.p > 1 - {EPS}D THEN 1
+                   WHEN t.s > 0 THEN CAST(t.p >= 0.5D AS INT)
+                   ELSE CAST(pmod(xxhash64(t.x.key, {seed + 1}), 9007199254740992) / 9007199254740992D < t.p AS INT) END))))""",
+    ]
+    step = "array(named_struct('z', z, 'x', x))"
+    for let in lets:
+        step = f"transform({step}, {let})"
+    total = lambda of: f"aggregate({units}, 0D, (v, x) -> v + {of})"
+    zero = f"named_struct('a', 1D, 'b', 0D, 'm', {total('x.size * x.p')}, 's', {total('CAST(x.size AS DOUBLE)')}, 'done', CAST(array() AS {_DONE}))"
+    return f"aggregate({units}, {zero}, (z, x) -> element_at({step}, 1))"
+
+
+def _level(units: DataFrame, keys: list[str], seed: int, fold=_fold) -> DataFrame:
     """One level of the tree: each bucket's fold, stored."""
     out = units.groupBy("source", *keys).agg(F.sort_array(F.collect_list("unit"), asc=False).alias("units"))
-    return stored(out.select("source", *keys, F.expr(_fold("units", seed)).alias("f")), "mix-level")
+    return stored(out.select("source", *keys, F.expr(fold("units", seed)).alias("f")), "mix-level")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, fan: int = FAN, seed: int = SEED) -> DataFrame:
@@ -123,13 +154,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     for k in range(depth):
         levels.append(_level(left().select("source", "class", F.expr(f"bucket div {fan}").alias("bucket"), F.col("f.cur").alias("unit")), ["class", "bucket"], seed + 2 + k))
     last = left().select("source", F.col("f.cur").alias("unit")).unionAll(units.filter("waits").select("source", "unit"))
-    levels.append(_level(last, [], seed - 1))
+    levels.append(_level(last, [], seed - 2, _root))
     decided = None
     for level in levels:
         d = level.select("source", F.explode("f.done").alias("d")).select("source", "d.id", "d.size", "d.extra")
         decided = d if decided is None else decided.unionAll(d)
-    alone = F.expr(f"pmod(xxhash64(f.cur.key, {seed - 2}), 9007199254740992) / 9007199254740992D < f.cur.p").cast("int")
-    decided = decided.unionAll(left().select("source", F.col("f.cur.id"), F.col("f.cur.size"), alone.alias("extra")))
     fixed = of.filter(~moving).select("source", F.col("doc_id").alias("id"), "size", F.lit(0).alias("extra"))
     rates = plan.select(F.col("so"), "source_size", "target", "base").dropDuplicates(["so"])
     out = decided.unionAll(fixed).join(rates, F.col("source").eqNullSafe(F.col("so")))
