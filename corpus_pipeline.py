@@ -1,8 +1,48 @@
-"""A training-corpus pipeline over `documents`: each stage is one operator, written as Parquet and read again as the next one's input."""
+"""A training corpus from `documents`: toxic documents go, exact copies go, of near-duplicates one stays, sources are mixed to their
+target weights (rows repeat), and the result is tokenised. Each stage is an operator of geoweave.llm; its rows are written as Parquet and
+read again as the next one's input. All stages but the last return the columns of documents."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from geoweave.llm.common import decided_rows, stored, table
+
+#: Scores of a model trained in numpy can't be had from SQL.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(docs)
+    return decided_rows(docs, found.select("doc_id", F.col("kept").cast("int").alias("times")))
+
+
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(docs)
+    return decided_rows(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int").alias("times")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decided_rows(docs, mixing.mix(docs).select("doc_id", F.col("copies").alias("times")))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(docs)
+
+
+STAGES = [("toxicity", clean), ("exact dedup", distinct), ("simhash near-dedup", dissimilar), ("mixing", mixed), ("bpe", tokens)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{i}")
+    return docs
