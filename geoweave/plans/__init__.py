@@ -1,4 +1,4 @@
-"""Registered queries: one a survey operator, each with the SQL that must give the same rows."""
+"""Registered queries: one or more a survey operator, each with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import search, spatial  # noqa: F401
+from .base import ORACLE, QUERIES  # noqa: F401
