@@ -24,8 +24,8 @@ def _lines(df):
     return df.withColumn("coords", F.array(p(1), p(2)))
 
 
-def _round(df, **digits):
-    return df.withColumns({c: F.round(c, n) for c, n in digits.items()})
+def _round(frame, /, **digits):
+    return frame.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query("j1_nearest_poi", ctes("poi", "fix") + f"""
