@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweave.operators.components import components
+
 from .common import map_rows, stored, table, texts
-from .components import components
 
 SHINGLE, SEED, MAX_BITS, BLOCKS = 3, 42, 2, 5
 _SEP = np.zeros(256, bool)
