@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -38,6 +39,27 @@ def byte_alphabet() -> list[str]:
     return [char[b] for b in range(256)]
 
 
+def newer_letters() -> str:
+    """A class of the letters and digits that Python's Unicode tables leave unassigned and `regex` knows."""
+    every = "".join(map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))))
+    ranges: list[list[int]] = []
+    for c in map(ord, regex.findall(r"[\p{L}\p{N}]", every)):
+        if unicodedata.category(chr(c)) == "Cn":
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]" if ranges else r"(?!)"
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -60,6 +82,8 @@ class Bpe:
         kinds, pattern = self._steps(spec)
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         self.find = regex.compile(pattern.replace(r"\s", WHITE)).findall
+        self.newer = re.compile(newer_letters()).search
+        self.path = path
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
 
@@ -73,9 +97,8 @@ class Bpe:
             raise ValueError("unsupported tokenizer file")
         return kinds, split[0]
 
-    def merge(self, word: str) -> list[int]:
-        """The ids of one word."""
-        data = word.encode()
+    def merge(self, data: bytes) -> list[int]:
+        """The ids of one word's bytes."""
         ids = [self.start[b] for b in data]
         ids[-1] = self.last[data[-1]]
         rank = self.rank
@@ -94,9 +117,21 @@ class Bpe:
                 ranks[i - 1] = rank.get(ids[i - 1] << 32 | ids[i], none)
         return ids
 
+    def _by_library(self, text: str) -> list[bytes]:
+        """The same for texts with letters newer than Python's tables: normalised and split by the library, merged here."""
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        of = {c: b for b, c in enumerate(self.alphabet)}
+        words = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
+        return [np.array(self.merge(bytes(of[c] for c in w)), "<u4").tobytes() for w, _ in words if w]
+
     def _plain(self, text: str) -> list[bytes]:
-        if self.nfc and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+        if not text.isascii():
+            if not _latin(text) and self.newer(text):
+                return self._by_library(text)
+            if self.nfc:
+                text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         known, out = self.known, []
@@ -105,7 +140,7 @@ class Bpe:
             if x is None:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
-                x = np.array(self.merge(w), "<u4").tobytes()
+                x = np.array(self.merge(w.encode()), "<u4").tobytes()
                 if len(w) <= 64:
                     known[w] = x
             out.append(x)

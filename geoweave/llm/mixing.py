@@ -104,20 +104,20 @@ def _root(units: str, seed: int) -> str:
     p -> a * p + b, its mass as m and its size as s, so a unit costs the same however many follow."""
     u = f"pmod(xxhash64(t.x.key, {seed}), 9007199254740992) / 9007199254740992D"
     full_up, full_down = f"t.up >= t.x.size * (1 - t.p) - {EPS}D", f"t.down >= t.x.size * t.p - {EPS}D"
-    rises = f"CASE WHEN {full_up} AND {full_down} THEN t.u * (t.up + t.down) < t.down WHEN {full_up} THEN true WHEN {full_down} THEN false ELSE t.p >= 0.5D END"
+    rises = f"CASE WHEN {full_up} AND {full_down} THEN t.u * (t.up + t.down) < t.down WHEN {full_up} THEN true WHEN {full_down} THEN false ELSE t.x.size * (1 - t.p) - t.up <= t.x.size * t.p - t.down END"
     lets = [
         "q -> named_struct('z', q.z, 'x', q.x, 'p', least(1D, greatest(0D, q.z.a * q.x.p + q.z.b)))",
         "q -> named_struct('z', q.z, 'x', q.x, 'p', q.p, 'm', greatest(0D, q.z.m - q.p * q.x.size), 's', q.z.s - q.x.size)",
         f"t -> named_struct('z', t.z, 'x', t.x, 'p', t.p, 'm', t.m, 's', t.s, 'u', {u}, 'up', least(t.x.size * (1 - t.p), t.m), 'down', least(t.x.size * t.p, greatest(0D, t.s - t.m)))",
         f"""t -> CASE WHEN t.p < {EPS}D OR t.p > 1 - {EPS}D OR t.up + t.down < {EPS}D
-              THEN named_struct('x', t.x, 'z', t.z, 'p', t.p, 'u', t.u, 'a', t.z.a, 'b', t.z.b, 'm', t.m, 's', t.s)
+              THEN named_struct('x', t.x, 'z', t.z, 'p', t.p, 'rose', t.p >= 0.5D, 'a', t.z.a, 'b', t.z.b, 'm', t.m, 's', t.s)
             WHEN {rises}
-              THEN named_struct('x', t.x, 'z', t.z, 'p', t.p + t.up / t.x.size, 'u', t.u, 'a', t.z.a * (1 - t.up / t.m), 'b', t.z.b * (1 - t.up / t.m), 'm', t.m - t.up, 's', t.s)
-            ELSE named_struct('x', t.x, 'z', t.z, 'p', t.p - t.down / t.x.size, 'u', t.u, 'a', t.z.a * (1 - t.down / (t.s - t.m)), 'b', t.z.b * (1 - t.down / (t.s - t.m)) + t.down / (t.s - t.m), 'm', t.m + t.down, 's', t.s)
+              THEN named_struct('x', t.x, 'z', t.z, 'p', t.p + t.up / t.x.size, 'rose', true, 'a', t.z.a * (1 - t.up / t.m), 'b', t.z.b * (1 - t.up / t.m), 'm', t.m - t.up, 's', t.s)
+            ELSE named_struct('x', t.x, 'z', t.z, 'p', t.p - t.down / t.x.size, 'rose', false, 'a', t.z.a * (1 - t.down / (t.s - t.m)), 'b', t.z.b * (1 - t.down / (t.s - t.m)) + t.down / (t.s - t.m), 'm', t.m + t.down, 's', t.s)
             END""",
         f"""t -> named_struct('a', t.a, 'b', t.b, 'm', t.m, 's', t.s, 'done', concat(t.z.done, array(named_struct('id', t.x.id, 'size', t.x.size, 'extra',
               CASE WHEN t.p < {EPS}D THEN 0 WHEN t.p > 1 - {EPS}D THEN 1
-                   WHEN t.s > 0 THEN CAST(t.p >= 0.5D AS INT)
+                   WHEN t.s > 0 THEN CAST(t.rose AS INT)
                    ELSE CAST(pmod(xxhash64(t.x.key, {seed + 1}), 9007199254740992) / 9007199254740992D < t.p AS INT) END))))""",
     ]
     step = "array(named_struct('z', z, 'x', x))"

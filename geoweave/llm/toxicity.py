@@ -78,7 +78,7 @@ def _sum_rows(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 
 def fit(docs: list[str], labels: list[int], shares: tuple[float, float], dim: int = DIM, steps: int = STEPS, rate: float = RATE, buckets: int = BUCKETS, min_df: int = MIN_DF, scale: float = SCALE, decay: float = DECAY) -> Model:
     """docs and labels (0, 1) -> a Model. shares: of the labels among all training rows."""
-    y = np.asarray(labels)
+    y = np.asarray(labels, np.int64)
     counts = np.bincount(y, minlength=2)
     if not counts.all():
         p = min(max(shares[1], 1e-6), 1 - 1e-6)
