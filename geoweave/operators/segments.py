@@ -99,7 +99,7 @@ def move_boundary(segments: DataFrame, moves: DataFrame, key: str = "device") ->
     w = Window.partitionBy(key).orderBy("start")
     x = segments.withColumn("_first", F.lag("start").over(w)).join(moves.select(key, "start", "to"), [key, "start"], "left")
     at = F.greatest(F.col("_first") + 1, F.least(F.col("end"), F.col("to")))
-    x = x.withColumn("_at", F.when(F.col("_first").isNotNull() & (at != F.col("start")), at)).withColumn("_next", F.lead("_at").over(w))
+    x = x.withColumn("_at", F.when(F.col("_first").isNotNull() & F.col("to").isNotNull() & (at != F.col("start")), at)).withColumn("_next", F.lead("_at").over(w))
     moved = x.select(key, F.coalesce("_at", "start").alias("start"), F.coalesce(F.col("_next") - 1, F.col("end")).alias("end"), "type", (F.col("edited") | F.col("_at").isNotNull() | F.col("_next").isNotNull()).alias("edited"))
     return auto_merge(moved, key)
 
