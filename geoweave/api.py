@@ -10,7 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import lookup, scoring, search, visibility
+from .operators import lookup, scoring, visibility
+from .operators import search as names
 from .sources import layers, tiles
 
 #: The columns a layer needs: what empty layers are made of.
@@ -111,8 +112,8 @@ class Stack:
     def viewshed(self, observers: DataFrame, radius_m: float) -> DataFrame:
         return visibility.viewshed(observers, self.layer("buildings"), radius_m)
 
-    def search(self, query: str, limit: int = search.LIMIT) -> DataFrame:
-        return search.search_all(self.layer("businesses"), query, limit)
+    def search(self, query: str, limit: int = names.LIMIT) -> DataFrame:
+        return names.search_all(self.layer("businesses"), query, limit)
 
-    def geocode(self, query: str, limit: int = search.GEOCODE_LIMIT) -> DataFrame:
-        return search.match_addresses(self.layer("addresses"), query, limit)
+    def geocode(self, query: str, limit: int = names.GEOCODE_LIMIT) -> DataFrame:
+        return names.match_addresses(self.layer("addresses"), query, limit)
