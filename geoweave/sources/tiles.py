@@ -195,6 +195,42 @@ def decode(layer: str, data: bytes, centre: tuple[int, int] = (0, 0)) -> Iterato
         yield row
 
 
+def buildings(data: bytes, centre: tuple[int, int]) -> Iterator[dict]:
+    """Building records of one cell, given its centre (lon, lat in hundred-thousandths of a degree), from which the first vertex counts.
+
+    A table of strings comes first; a record's type, name, category and source refer to it, or spell themselves out after 255. Heights are
+    half metres in a byte. Fields of later versions behind them are skipped with the record."""
+    c = Cursor(data)
+    table = [c.text("B") for _ in range(c.number("B"))]
+
+    def name(r: Cursor, missing: str) -> str:
+        i = r.number("B")
+        return r.text("B") if i == 255 else table[i] if i < len(table) else missing
+
+    last = 0
+    while c.pos + 4 <= len(data) and (n := c.number("I")):
+        r = Cursor(c.take(n))
+        try:
+            row = {"osm_id": last + r.zigzag()}
+            packed = r.number("B") >> 4
+            count = r.number("B") if packed == 15 else packed + 4
+            coords, x, y = [], centre[0], centre[1]
+            for k in range(count):
+                dx, dy = (r.number("h"), r.number("h")) if k == 0 else (r.zigzag(), r.zigzag())
+                x, y = x + dx, y + dy
+                coords.append({"lon": x / DEGREE, "lat": y / DEGREE})
+            row |= {"coords": coords, "building_type": name(r, "yes")}
+            more = r.number("B")
+            for bit, field in ((1, "name"), (2, "category"), (4, "name_source")):
+                row[field] = (name(r, "") or None) if more & bit else None
+            row["poi_osm_id"] = r.number("Q") if more & 8 else None
+            row["height_m"] = r.number("B") / 2 if more & 16 and r.pos < n else None
+        except TileError:
+            continue
+        last = row["osm_id"]
+        yield row
+
+
 def intersections(data: bytes) -> Iterator[dict]:
     """The table after the road records of a block: lon, lat, type."""
     c = Cursor(data)
@@ -318,6 +354,17 @@ def unpack_block(raw: bytes, dictionary: bytes) -> bytes:
         raise TileError(f"damaged block: {e}") from e
 
 
+def polygons(data: bytes) -> list[dict]:
+    """State outlines: name, admin_level (4), coords."""
+    c, out = Cursor(data), []
+    for _ in range(c.number("I")):
+        c.take(1)
+        name = c.text("H")
+        points = [struct.unpack("<ii", c.take(8)) for _ in range(c.number("I"))]
+        out.append({"name": name, "admin_level": 4, "coords": [{"lon": x / DEGREE, "lat": y / DEGREE} for x, y in points]})
+    return out
+
+
 def cell_slices(block: bytes) -> Iterator[tuple[int, bytes]]:
     """The cells of a merged block and their records."""
     n = struct.unpack_from("<I", block, 8)[0]

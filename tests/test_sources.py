@@ -122,3 +122,40 @@ def test_layers(spark, tmp_path):
     s = spark.createDataFrame([(10, 0), (20, 5), (30, 9)], "cell long, entry long")
     c = spark.createDataFrame([(5,), (10,), (25,), (99,)], "cell long")
     assert {r.cell: (r.start, r.end) for r in layers.bracket(s, c, 12).collect()} == {10: (0, 5), 25: (5, 9), 99: (9, 11)}
+
+
+def test_buildings_and_admin_tables():
+    def building(step, vertices, kind, more, extra):
+        b = tiles.Builder()
+        b.zigzag(step)
+        b.number("B", (len(vertices) - 4) << 4 if len(vertices) < 19 else 15 << 4)
+        if len(vertices) >= 19:
+            b.number("B", len(vertices))
+        for k, (x, y) in enumerate(vertices):
+            for v in (x, y):
+                b.number("h", v) if k == 0 else b.zigzag(v)
+        b.number("B", kind)
+        b.number("B", more)
+        return len(b.out + extra).to_bytes(4, "little") + bytes(b.out) + extra
+
+    head = tiles.Builder()
+    head.number("B", 2)
+    head.text("B", "house")
+    head.text("B", "Café")
+    data = bytes(head.out) + building(5, [(1, 2), (3, 0), (0, 3), (-3, 0)], 0, 0x11, bytes([1, 21])) + (3).to_bytes(4, "little") + b"\xff\xff\xff" + building(7, [(0, 0)] + [(1, 1)] * 20, 9, 0, b"later fields")
+    a, b = tiles.buildings(data, (-8650000, 3600000))
+    assert a == {"osm_id": 5, "coords": [{"lon": -86.49999, "lat": 36.00002}, {"lon": -86.49996, "lat": 36.00002}, {"lon": -86.49996, "lat": 36.00005}, {"lon": -86.49999, "lat": 36.00005}], "building_type": "house", "name": "Café", "category": None, "name_source": None, "poi_osm_id": None, "height_m": 10.5}
+    assert b["osm_id"] == 12 and b["building_type"] == "yes" and len(b["coords"]) == 21 and b["height_m"] is None
+
+    t = tiles.Builder()
+    for names in (["US"], ["TN", "KY"], [], ["37201"], ["America/Chicago"]):
+        t.number("I", len(names))
+        for n in names:
+            t.text("H", n)
+    assert tiles.admin_tables(bytes(t.out))["state"] == ["TN", "KY"]
+    g = (1).to_bytes(4, "little") + (77).to_bytes(8, "little") + bytes([0, 1, 0, 0, 0, 0, 0, 5])
+    assert tiles.admin_grid(g) == [{"cell": 77, "country": 0, "state": 1, "county": 0, "zip": 0, "timezone": 0, "boundary_flags": 5}]
+    p = (1).to_bytes(4, "little") + b"\x01" + (2).to_bytes(2, "little") + b"TN" + (1).to_bytes(4, "little") + (100000).to_bytes(4, "little") * 2
+    assert tiles.polygons(p) == [{"name": "TN", "admin_level": 4, "coords": [{"lon": 1.0, "lat": 1.0}]}]
+    roads = tiles.encode("roads", [sample("roads", 1)]) + (0).to_bytes(4, "little") + (1).to_bytes(2, "little") + (100000).to_bytes(4, "little") * 2 + b"\x02"
+    assert [x["kind"] for x in tiles.intersections(roads)] == ["stop"]
