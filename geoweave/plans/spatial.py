@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoweave.functions import geo
-from geoweave.operators import knn, lookup
+from geoweave.operators import cells, knn, lookup
 
 from .base import query
 from .views import ctes, hav, seg_dist, view
@@ -204,8 +204,6 @@ def c7_group_by_cell(spark, sf):
 SELECT qid, arg_min(b.fid, (NOT hit, pow(a.lat - (lat0 + lat1) / 2, 2) + pow(a.lon - (lon0 + lon1) / 2, 2), b.fid)) AS fid, bool_or(hit) AS inside
 FROM (SELECT a.*, b.*, a.lat BETWEEN lat0 - 0.05 AND lat1 + 0.05 AND a.lon BETWEEN lon0 - 0.05 AND lon1 + 0.05 AS hit FROM fix a, (SELECT * FROM box WHERE kind = 0) b) x(qid, user_id, lat, lon, s, acc, fid, name, kind, lat0, lon0, lat1, lon1, hit), (SELECT 1) b(o), (SELECT 1) a(o) GROUP BY qid""".replace("a.lat - (", "x.lat - (").replace("a.lon - (", "x.lon - (").replace("b.fid", "x.fid").replace(", (SELECT 1) b(o), (SELECT 1) a(o)", ""))
 def c8_state_of(spark, sf):
-    from geoweave.operators import cells
-
     b = view(spark, sf, "box").filter("kind = 0").selectExpr("fid", "lat0 - 0.05 AS lat0", "lon0 - 0.05 AS lon0", "lat1 + 0.05 AS lat1", "lon1 + 0.05 AS lon1")
     return cells.state_of(view(spark, sf, "fix"), b)
 
@@ -269,3 +267,55 @@ def g14_cumulative_m(spark, sf):
     paths = view(spark, sf, "seg").groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("fid", "lon1", "lat1"))).alias("p"))
     paths = paths.select("path_id", F.transform("p", lambda x: F.struct(x.lon1.alias("lon"), x.lat1.alias("lat"))).alias("coords"))
     return paths.select("path_id", F.round(F.element_at(geo.cumulative_m("coords"), -1), 2).alias("total_m"), F.size("coords").cast("long").alias("n"))
+
+
+_H = 1.01 * 1200.0 / (6371000.0 * 3.141592653589793 / 180)
+_N = "greatest(1, floor(360 * cos(radians(least(90, greatest(abs({r} * {h} - 90 - {h}), abs(({r} + 2) * {h} - 90))))) / {h}))::BIGINT"
+_GRID = f"""g AS (SELECT qid, lat, lon, floor((lat + 90) / {_H})::BIGINT AS r FROM fix),
+ k AS (SELECT *, {_N.format(r="r", h=_H)} AS n FROM g), c AS (SELECT *, floor((lon + 180) / 360 * n)::BIGINT AS x FROM k)"""
+
+
+@query("c1_cell_of", ctes("fix") + ", " + _GRID + "SELECT qid, r * 4294967296 + x AS cell FROM c")
+def c1_cell_of(spark, sf):
+    return view(spark, sf, "fix").select("qid", cells.cell_of(F.col("lat"), F.col("lon")).alias("cell"))
+
+
+@query("c2_cell_center", ctes("fix") + ", " + _GRID + f"SELECT qid, round((r + 0.5::DOUBLE) * {_H}::DOUBLE - 90, 6) AS lat, round((x + 0.5::DOUBLE) * 360 / n - 180, 6) AS lon FROM c")
+def c2_cell_center(spark, sf):
+    c = cells.cell_center(cells.cell_of(F.col("lat"), F.col("lon")))
+    return view(spark, sf, "fix").select("qid", F.round(c.lat, 6).alias("lat"), F.round(c.lon, 6).alias("lon"))
+
+
+@query("c3_neighbor_cells", ctes("fix") + ", " + _GRID + f""", o AS (SELECT *, (x + 0.5) * 360 / n - 180 AS mid FROM c), d AS (SELECT qid, r, x, r + dr AS r2, mid, {_N.format(r="(r + dr)", h=_H)} AS n2 FROM o, (VALUES (-1), (0), (1)) v(dr)),
+ e AS (SELECT DISTINCT qid, r, x, r2, floor((mid + 180) / 360 * n2)::BIGINT + dc AS x2 FROM d, (VALUES (-1), (0), (1)) w(dc))
+SELECT qid, count(*) AS n, sum((r2 * 4294967296 + x2) % 1000003)::BIGINT AS checksum FROM e WHERE NOT (r2 = r AND x2 = x) GROUP BY qid""")
+def c3_neighbor_cells(spark, sf):
+    n = view(spark, sf, "fix").select("qid", F.explode(cells.neighbor_cells(cells.cell_of(F.col("lat"), F.col("lon")))).alias("c"))
+    return n.groupBy("qid").agg(F.count("*").alias("n"), F.sum(F.col("c") % 1000003).alias("checksum"))
+
+
+@query("c5_normalize_cell", "SELECT event_id, (event_id * 104729 + 608659748576821247) & ~2097151::BIGINT AS cell FROM events")
+def c5_normalize_cell(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", cells.normalize_cell(F.col("event_id") * 104729 + F.lit(608659748576821247)).alias("cell"))
+
+
+@query("c6_candidate_cells", ctes("fix") + ", " + _GRID + "SELECT qid, r * 4294967296 + x AS own, 9 AS n FROM c")
+def c6_candidate_cells(spark, sf):
+    k = cells.candidate_cells(F.col("lat"), F.col("lon"), 1)
+    return view(spark, sf, "fix").select("qid", F.element_at(k, 1).alias("own"), F.size(k).alias("n"))
+
+
+@query("s22_layer_coverage", ctes("poi") + "SELECT count(*) AS n, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM poi")
+def s22_layer_coverage(spark, sf):
+    from geoweave.sources import layers
+
+    return layers.coverage(view(spark, sf, "poi"))
+
+
+@query("d17_merge_layers", ctes("poi") + "SELECT CASE WHEN nationkey < 12 THEN 'AA' ELSE 'BB' END AS state, count(*) AS n, min(fid) AS first_fid FROM poi GROUP BY 1")
+def d17_merge_layers(spark, sf):
+    from geoweave.sources import layers
+
+    p = view(spark, sf, "poi").withColumn("cell", cells.cell_of(F.col("lat"), F.col("lon")))
+    both = layers.merge_states({"AA": p.filter("nationkey < 12"), "BB": p.filter("nationkey >= 12")})
+    return both.groupBy("state").agg(F.count("*").alias("n"), F.min("fid").alias("first_fid"))

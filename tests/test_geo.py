@@ -99,3 +99,19 @@ def test_viewshed_horizon(spark):
     low, high = views(1.7), views(60.0)
     assert low[1] and not low[2] and low[3] and 4 not in low
     assert all(high[k] for k in low if low[k]), "a higher eye sees at least as much"
+
+
+def test_cells(spark):
+    from geoweave.operators import cells
+
+    got = cells.cells_for_bounds(spark, 36.0, -86.1, 36.05, -86.0)
+    q = spark.createDataFrame([(36.0, -86.1), (36.05, -86.0), (36.02, -86.03), (90.5, 0.0), (float("nan"), 0.0)], "lat double, lon double")
+    of = [r.c for r in q.select(cells.cell_of(F.col("lat"), F.col("lon")).alias("c")).collect()]
+    assert set(of[:3]) <= set(got) and of[3:] == [0, 0] and len(set(got)) == len(got)
+    centre = spark.createDataFrame([(c,) for c in got], "c long").select("c", cells.cell_center(F.col("c")).alias("p")).select("c", "p.*")
+    assert all(r.c == r.again for r in centre.select("c", cells.cell_of(F.col("lat"), F.col("lon")).alias("again")).collect())
+    for bad in ((1, 0, 0, 1), (0, 0, 10, 10), (float("nan"), 0, 1, 1)):
+        with pytest.raises(ValueError):
+            cells.cells_for_bounds(spark, *map(float, bad))
+    with pytest.raises(ValueError):
+        cells.candidate_cells(F.lit(0.0), F.lit(0.0), 2)
