@@ -231,6 +231,46 @@ def buildings(data: bytes, centre: tuple[int, int]) -> Iterator[dict]:
         yield row
 
 
+def _business(r: Cursor, framed: bool) -> dict:
+    row = {"osm_id": r.zigzag()}
+    r.field(row, "at", "point" if framed else "offset", 0)
+    row |= {"name": r.text("H"), "category_idx": r.number("B")}
+    bits = r.number("B")
+    listed = {"emails": 32, "socials": 64} if framed else {}
+    for bit, field, size in ((1, "phone", "B"), (2, "website", "B"), (4, "address", "H"), (8, "brand", "B"), *((b, f, "B") for f, b in listed.items())):
+        row[field] = r.text(size) if bits & bit else None
+    for field in ("emails", "socials"):
+        row[field] = [x.strip() for x in (row.get(field) or "").split(";") if x.strip()]
+    if bits & 128:
+        r.take(1)
+    closed = framed and bits & 16
+    row["operating_status"] = ("temporarily_closed" if bits & 2 else "closed") if closed else "open"
+    more = r.number("H") if r.pos + 2 <= len(r.data) else 0
+    row["source_type"] = r.number("B") if more & 1 else None
+    row["source_id"] = r.text("H") if more & 2 else None
+    row["confidence"] = r.number("B") if more & 4 else None
+    return row
+
+
+def businesses(data: bytes, version: int, centre: tuple[int, int] | None = None) -> Iterator[dict]:
+    """Business records of one cell: version 3 with framed records and own coordinates, version 4 without frames and relative to the
+    centre of the cell (lon, lat in hundred-thousandths of a degree), which is needed then."""
+    if version >= 4:
+        if centre is None:
+            raise TileError("version 4 needs the cell's centre")
+        c = Cursor(data, centre)
+        while c.pos < len(data):
+            yield _business(c, False)
+        return
+    c = Cursor(data)
+    while c.pos + 4 <= len(data) and (n := c.number("I")):
+        record = Cursor(c.take(n))
+        try:
+            yield _business(record, True)
+        except TileError:  # a bad record is skipped
+            continue
+
+
 def intersections(data: bytes) -> Iterator[dict]:
     """The table after the road records of a block: lon, lat, type."""
     c = Cursor(data)

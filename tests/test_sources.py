@@ -159,3 +159,29 @@ def test_buildings_and_admin_tables():
     assert tiles.polygons(p) == [{"name": "TN", "admin_level": 4, "coords": [{"lon": 1.0, "lat": 1.0}]}]
     roads = tiles.encode("roads", [sample("roads", 1)]) + (0).to_bytes(4, "little") + (1).to_bytes(2, "little") + (100000).to_bytes(4, "little") * 2 + b"\x02"
     assert [x["kind"] for x in tiles.intersections(roads)] == ["stop"]
+
+
+def test_businesses():
+    def record(framed, bits, texts, more=b"\0\0"):
+        b = tiles.Builder()
+        b.zigzag(42)
+        for v in (-8650000, 3600000) if framed else (10, -20):
+            b.number("i" if framed else "h", v)
+        b.text("H", "Café")
+        b.number("B", 3)
+        b.number("B", bits)
+        for size, x in texts:
+            b.text(size, x)
+        return (len(b.out + more).to_bytes(4, "little") if framed else b"") + bytes(b.out) + more
+
+    v3 = record(True, 1 | 16 | 32, [("B", "555"), ("B", "a@b; ;c@d")], bytes([7, 0, 2, 1, 0]) + b"x" + bytes([90])) + (2).to_bytes(4, "little") + b"\xff\xff" + record(True, 2 | 16, [("B", "web")], b"")
+    a, b = tiles.businesses(v3, 3)
+    assert a["phone"] == "555" and a["emails"] == ["a@b", "c@d"] and a["operating_status"] == "closed" and (a["source_type"], a["source_id"], a["confidence"]) == (2, "x", 90) and a["lon"] == -86.5
+    assert b["operating_status"] == "temporarily_closed" and b["confidence"] is None
+    v4 = record(False, 4, [("H", "1 Main")]) + record(False, 0, [])
+    x, y = tiles.businesses(v4, 4, (-8650000, 3600000))
+    assert x["address"] == "1 Main" and x["operating_status"] == "open" and (x["lon"], x["lat"]) == (-86.4999, 35.9998) and y["osm_id"] == 42
+    with pytest.raises(tiles.TileError):
+        list(tiles.businesses(v4, 4))
+    with pytest.raises(tiles.TileError):
+        list(tiles.businesses(v4[:-3], 4, (0, 0)))
