@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_rows, table, texts
 
 NONE = 1 << 60
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 #: White_Space of Unicode, as the library's patterns see `\s` (Python's has four more).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import string
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -30,7 +31,7 @@ from .common import map_rows, slices, table, texts
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
 ROWS, CHARS, BUCKETS, DIM = 2000, 20_000, 1 << 17, 6
 STEPS, BATCH, RATE, SCALE, DECAY, MIN_DF, SEED = 400, 128, 0.02, 100.0, 1e-4, 8, 7
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 EDGE = string.punctuation + "«»“”„’‘…¡¿"
 
 
@@ -42,18 +43,30 @@ def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
     """Buckets of a word and its n-grams."""
     w = f"<{word}>"
     crc, n = zlib.crc32, len(w)
-    return [crc(w.encode()) % buckets, *(crc(w[i : i + k].encode()) % buckets for k in (3, 4, 5) for i in range(n - k + 1) if k < n)]
+    out = [crc(w.encode()) % buckets]
+    if w.isascii():
+        data = w.encode()
+        for k in (3, 4, 5):
+            if k < n:
+                out += [crc(data[i : i + k]) % buckets for i in range(n - k + 1)]
+    else:
+        for k in (3, 4, 5):
+            if k < n:
+                out += [crc(w[i : i + k].encode()) % buckets for i in range(n - k + 1)]
+    return out
 
 
 class Model:
     """score(text) from a scalar per bucket, a bias and a memory of words of bounded size."""
 
     def __init__(self, scalars: np.ndarray, bias: float):
-        self.scalars, self.bias, self.known = scalars, bias, {}
+        self.scalars, self.bias, self.known = scalars.tolist(), bias, {}
 
     def word(self, token: str) -> float:
-        w = word_of(token)
-        s = float(self.scalars[subwords(w, len(self.scalars))].mean()) if w else 0.0
+        w, s = word_of(token), 0.0
+        if w:
+            parts, of = subwords(w, len(self.scalars)), self.scalars
+            s = sum([of[i] for i in parts]) / len(parts)
         if len(self.known) >= CACHE_WORDS:
             self.known.clear()
         if len(token) <= 40:
@@ -88,15 +101,23 @@ def fit(docs: list[str], labels: list[int], shares: tuple[float, float], dim: in
     for d in docs:
         c = Counter(d.split())
         bags.append((np.fromiter((ids.setdefault(word_of(t), len(ids)) for t in c), np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c)) / max(1, c.total())))
+    flat_list, counts_list = array("i"), array("i")
+    for w in ids:
+        parts = subwords(w, buckets) if w else []
+        flat_list.extend(parts)
+        counts_list.append(len(parts))
+    flat, number = np.frombuffer(flat_list, np.int32) if len(flat_list) else np.empty(0, np.int32), np.array(counts_list, np.int64)
+    begin = np.cumsum(number) - number
     spread = np.zeros(buckets, np.int64)  # documents that a bucket occurs in
-    subs = [np.array(subwords(w, buckets) if w else [], np.int64) for w in ids]
     for words, _ in bags:
-        spread[np.unique(np.concatenate([subs[i] for i in words] or [np.empty(0, np.int64)]))] += 1
+        n = number[words]
+        spread[np.unique(flat[np.arange(n.sum()) + np.repeat(begin[words] - (np.cumsum(n) - n), n)])] += 1
     live = spread >= min_df
-    sizes = np.array([max(1, len(s)) for s in subs])  # a word is the mean over all its buckets, of which rare ones are zero
-    subs = [s[live[s]] for s in subs]
-    first = np.concatenate(([0], np.cumsum([len(s) for s in subs])))
-    flat = np.concatenate(subs) if subs else np.empty(0, np.int64)
+    sizes = np.maximum(1, number)  # a word is the mean over all its buckets, of which rare ones are zero
+    kept = live[flat]
+    first = np.concatenate(([0], np.cumsum(np.add.reduceat(np.append(kept, False).astype(np.int64), np.minimum(begin, len(flat))) * (number > 0))))
+    flat = flat[kept]
+    del flat_list, ids
     rng = np.random.default_rng(SEED)
     emb = (rng.uniform(-1 / dim, 1 / dim, (buckets, dim)) * live[:, None]).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
@@ -165,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     model = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast((model.scalars.astype(np.float32), model.bias))  # BUCKETS floats: a fixed size
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(model.scalars, np.float32), model.bias))  # BUCKETS floats: a fixed size
 
     def make():
         scalars, bias = sent.value
@@ -179,7 +200,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns as they are, that score below the threshold: one scan, nothing shuffled."""
     model = train(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast((model.scalars.astype(np.float32), model.bias))
+    sent = docs.sparkSession.sparkContext.broadcast((np.array(model.scalars, np.float32), model.bias))
 
     def run(batches):
         scalars, bias = sent.value
