@@ -132,7 +132,9 @@ def learn(inside: Counter, outside: Counter) -> dict[str, float]:
 def learned_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """Weights from at most `sample` labelled pages; a few hundred kinds at most come to the driver."""
     marked = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["html"].cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    some = marked.orderBy(F.xxhash64("page_id"), F.sha1(F.col("html").cast("binary"))).limit(sample)
+    # ids first: what one task merges is a few bytes a page, and the pages are fetched where they are
+    ids = marked.select("page_id").filter("page_id IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
+    some = marked.join(F.broadcast(ids), "page_id", "left_semi").select("page_id", "html")  # `sample` longs at most
     schema = pa.schema([("kind", pa.string()), ("inside", pa.int64()), ("outside", pa.int64())])
 
     def run(batches):
