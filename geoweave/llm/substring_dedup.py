@@ -36,6 +36,7 @@ WINDOW, GRAM, BATCHES, FANOUT = 50, 25, 3, 2
 _R = np.uint64(0x9E3779B97F4A7C15)
 _POW = np.cumprod(np.full(4096, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)
 _CODE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xFF51AFD7ED558CCD)) ^ np.uint64(0x5851F42D4C957F2D)
+_CODE[0x20] = 0  # a word's hash is the same with and without the space behind it: none follows a text's or a step's last word
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

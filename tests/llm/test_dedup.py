@@ -195,6 +195,27 @@ def test_gram_hashes_depend_on_the_gram_only():
     assert (h[5:16] == h[80:91]).all() and len(np.unique(h)) == len(h) - 11
 
 
+def test_word_hashes_ignore_what_follows():
+    for seed in range(40):
+        words = prose(random.Random(seed), 50).split()
+        text, longer = " ".join(words), " ".join(words + ["more"])
+        ends = substring_dedup.window_anchors(text)[3]
+        assert ends[0] == substring_dedup.window_anchors(longer)[3][0]
+        data, starts, stops = substring_dedup.normal_words(longer)
+        whole = substring_dedup.word_hashes(data, starts, stops)
+        assert all((substring_dedup.word_hashes(data, starts, stops, step) == whole).all() for step in (1, 7, 50))
+        assert (substring_dedup.word_hashes(*substring_dedup.normal_words(text)) == whole[:-1]).all()
+
+
+def test_substring_passages_at_a_documents_end(make):
+    rng, texts = random.Random(11), []
+    for k in range(40):
+        passage = prose(rng, 50)
+        texts += [(2 * k, prose(rng, 20) + " " + passage), (2 * k + 1, prose(rng, 9) + " " + passage + " " + prose(rng, 30))]
+    got = [tuple(r) for r in substring_dedup.substring_duplicates(make(texts)).collect()]
+    assert sorted(got, key=key) == sorted(brute_substring(texts), key=key)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100), (200, 50), (50, 60)]
     got = Counter(r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
