@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from geoweave.llm.common import decided_rows, stored, table
+from geoweave.llm.common import decided_rows, keyed, stored, table
 
 #: Scores of a model trained in numpy can't be had from SQL.
 ORACLE_SQL = None
@@ -19,17 +19,21 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_duplicates(docs)
-    return decided_rows(docs, found.select("doc_id", F.col("kept").cast("int").alias("times")))
+    rows = keyed(docs)
+    found = exact_dedup.exact_duplicates(rows, key="_row")
+    return decided_rows(rows, found.select("_row", F.col("kept").cast("int").alias("times")))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    return decided_rows(docs, found.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int").alias("times")))
+    rows = keyed(docs)
+    found = simhash.near_duplicates(rows, key="_row")
+    return decided_rows(rows, found.select("_row", F.col("kept").cast("int").alias("times")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decided_rows(docs, mixing.mix(docs).select("doc_id", F.col("copies").alias("times")))
+    rows = keyed(docs)
+    found = mixing.mix(rows.withColumn("doc_id", F.col("_row")))  # what is rounded is a row
+    return decided_rows(rows, found.select(F.col("doc_id").alias("_row"), F.col("copies").alias("times")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,13 +79,13 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def decided_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The columns of docs, each row as often as decisions (doc_id, times) say for its doc_id; rows that repeat a doc_id and its text
-    count once, and get the sum of their decisions."""
-    from pyspark.sql import Window
-
-    wanted = decisions.groupBy("doc_id").agg(F.sum("times").cast("int").alias("_times")).filter("_times > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"])).drop("_id")
-    same = Window.partitionBy("doc_id", F.xxhash64(docs["text"])).orderBy(F.lit(0))
-    rows = rows.withColumn("_nth", F.row_number().over(same)).filter("_nth = 1").drop("_nth")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*(docs.columns))
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs and a stored key of each row, `_row`: doc_ids can be null or repeat."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+
+
+def decided_rows(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The columns of rows (keyed) without the key, each row as often as decisions (_row, times) say for it."""
+    wanted = decisions.filter("times > 0").select("_row", F.col("times").cast("int").alias("_times"))
+    held = rows.join(wanted, "_row")
+    return held.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*(c for c in rows.columns if c != "_row"))

@@ -91,10 +91,10 @@ def _owner_of(fps: np.ndarray, owners: int) -> np.ndarray:
     return ((fps >> np.uint64(32)) * np.uint64(owners)) >> np.uint64(32)
 
 
-def normalised(docs: DataFrame) -> DataFrame:
-    """doc_id, norm, fp (XXH64 of norm), sha, n_cp (code points of the original)."""
-    t = texts(docs).withColumn("norm", F.translate("text", SPACE_CHARS, ""))
-    return t.select("doc_id", "norm", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), F.char_length("text").cast("long").alias("n_cp"))
+def normalised(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, norm, fp (XXH64 of norm), sha, n_cp (code points of the original), and the named columns."""
+    t = texts(docs, *more).withColumn("norm", F.translate("text", SPACE_CHARS, ""))
+    return t.select("doc_id", "norm", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), F.char_length("text").cast("long").alias("n_cp"), *more)
 
 
 def suspects(marks: DataFrame, owners: int) -> DataFrame:
@@ -168,11 +168,13 @@ def bloom(fps: DataFrame, bits: int = BLOOM_BITS) -> bytes:
     return bytes(out)
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
+def exact_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; given a column that is a key of the rows (long), also that, and of
+    each group exactly one row is kept, whatever its doc_id."""
+    more = [key] if key else []
     spark = docs.sparkSession
-    rows = normalised(docs)
-    marks = stored(rows.select(F.spark_partition_id().cast("long").alias("sender"), "doc_id", "fp", "text_sha256", "n_cp"), "exact-marks")
+    rows = normalised(docs, *more)
+    marks = stored(rows.select(F.spark_partition_id().cast("long").alias("sender"), "doc_id", "fp", "text_sha256", "n_cp", *more), "exact-marks")
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // OWNER_ROWS)
     dup = stored(suspects(marks, owners), "exact-suspects")
     sieve = spark.sparkContext.broadcast(bloom(dup))
@@ -184,15 +186,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
             if ok.any():
                 yield b.filter(pa.array(ok))
 
-    best = F.max_by(F.struct("doc_id", "n_cp"), F.struct("n_cp", (-F.col("doc_id")).alias("d")))
-    groups = rows.select("doc_id", "norm", "fp", "n_cp").mapInArrow(sift, "doc_id long, norm string, fp long, n_cp long")
+    best = F.max_by(F.struct("doc_id", "n_cp", *more), F.struct("n_cp", (-F.col("doc_id")).alias("d"), *((-F.col(c)).alias(c) for c in more)))
+    groups = rows.select("doc_id", "norm", "fp", "n_cp", *more).mapInArrow(sift, "doc_id long, norm string, fp long, n_cp long" + "".join(f", {c} long" for c in more))
     # the key holds the bytes themselves: equal digests alone never make two texts equal
-    verified = groups.groupBy("fp", "norm").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1").select(F.sha2("norm", 256), "best.doc_id", "group_size").toDF("sha", "keep_id", "group_size")
+    verified = groups.groupBy("fp", "norm").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1").select(F.sha2("norm", 256).alias("sha"), F.col("best.doc_id").alias("keep_id"), "group_size", F.col(f"best.{key or 'doc_id'}").alias("keep_key"))
     salted = verified.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    left = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
+    left = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id", *more), F.lit(SPREAD)).cast("int"))
     out = left.join(salted, (left["text_sha256"] == salted["sha"]) & (left["salt"] == salted["salt"]), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("group_size").isNull() | (F.col("doc_id") == F.col("keep_id")), F.lit(False)).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("group_size").isNull() | (F.col(key or "doc_id") == F.col("keep_key")), F.lit(False)).alias("kept"), "text_sha256", *more)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

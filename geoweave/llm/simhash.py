@@ -58,17 +58,17 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, *more: str) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and the named columns (longs)."""
 
     def make():
         def rows(x):
             fps = np.array([fingerprint(t, size) for t in x["text"]], np.uint64).view(np.int64)
-            return {"doc_id": x["doc_id"], "fp": fps}
+            return {"doc_id": x["doc_id"], "fp": fps, **{c: x[c] for c in more}}
 
         return rows
 
-    return map_rows(texts(docs), make, "doc_id long, fp long")
+    return map_rows(texts(docs, *more), make, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
 
 
 def _masks(blocks: int, bits: int) -> list[int]:
@@ -98,16 +98,21 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, bits: int = MAX_BITS) -> DataF
     return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= bits).select(F.col("fp").alias("u"), "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = stored(fingerprints(docs, size), "simhash")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, blocks: int = BLOCKS, key: str | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable); given a column that is a key of the rows (long), also
+    that, and kept: true for one row of each component, one with the component's id."""
+    fps = stored(fingerprints(docs, size, *([key] if key else [])), "simhash")
+    member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key) if key else F.col("doc_id")
+    nodes = fps.groupBy("fp").agg(F.min(member).alias("least_id"))
     roots = components(links(nodes.select("fp"), blocks))
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least_id")
     named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of = linked.join(named, "root").select("fp", "component_id")
     owner = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(owner, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = fps.join(owner, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    if not key:
+        return out.select("doc_id", "fingerprint", "component_id")
+    return out.select("doc_id", "fingerprint", "component_id.doc_id", (F.col(key) == F.col(f"component_id.{key}")).alias("kept"), key).toDF("doc_id", "fingerprint", "component_id", "kept", key)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,23 @@ def test_stages_on_edge_cases(spark, docs, empty):
         assert stage(spark, empty.select(*d.columns), "/root/testdata/sf0.001").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Null ids with different and with equal texts, rows that repeat, one id with two texts, a null id on the longest of a group."""
+    words = {c: " ".join(f"{c}{(i * 37) % 101}x{i}" for i in range(40)) for c in "pqrstuv"}
+    rows = [(None, words["p"]), (None, words["q"]), (None, words["r"]), (None, words["r"])]
+    rows += [(1, words["s"])] * 3 + [(2, words["t"]), (2, words["u"]), (3, words["v"]), (None, words["v"] + "  ")]
+    d = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    want = sorted(words.values())
+    exact = stored(corpus_pipeline.distinct(spark, d, ""), "test-stage")
+    assert sorted(r.text.strip() for r in exact.collect()) == want
+    assert [r.doc_id for r in exact.collect() if r.text.startswith("v")] == [None]
+    for docs in (d, exact):
+        near = stored(corpus_pipeline.dissimilar(spark, docs, ""), "test-stage")
+        assert sorted(r.text.strip() for r in near.collect()) == want
+    copies = sorted(r.text.strip() for r in corpus_pipeline.mixed(spark, near, "").collect())
+    assert set(copies) == set(want) and max(map(copies.count, want)) <= 2
+
+
 def test_registry_names():
     assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) if n.startswith("op")]
     assert len(registry.QUERIES) == 10 and set(registry.ORACLE) <= set(registry.QUERIES)
