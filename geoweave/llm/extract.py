@@ -3,7 +3,9 @@ r"""Main text of HTML pages by a maximum-scoring subsequence (op5).
 A page is read as a sequence of tokens: words, tags. Words score positive and tags negative; the contiguous run with the highest total is
 the content region, found in one linear scan. The weights are log-odds learned from labelled pages: on pages that mark their content
 (an `article` or `main` element that holds most of the page's words), each kind of token - a word by the block it stands in, a tag by its
-name - is counted inside and outside. Words are clipped to WORD_RANGE, tags to TAG_RANGE, and kinds not seen get the defaults. At most
+name - is counted inside and outside. Words are clipped to WORD_RANGE, tags to TAG_RANGE, and kinds not seen get the defaults; no tag weighs
+less than tag_floor says, so that a kind the labelled articles happen to lack outweighs no paragraph. Left-out elements are neither
+counted nor scored, words and tags alike. At most
 SAMPLE labelled pages (those with the least hashes of page_id) are counted; where none is labelled, the defaults stand.
 
 Inside the region, elements that are no content are left out: scripts, styles, forms, menus, headers and footers of the page, asides, and
@@ -32,13 +34,15 @@ from pyspark.sql import functions as F
 from .common import map_rows, table
 
 SAMPLE = 1000
-WORD_RANGE, TAG_RANGE = (0.25, 2.0), (-12.0, -0.05)
-DEFAULT_WORD, DEFAULT_TAG = 1.0, -2.0
+WORD_RANGE, TAG_RANGE = (0.25, 2.0), (-2.0, -0.05)
+DEFAULT_WORD, DEFAULT_TAG, TEXT_TAG = 1.0, -2.0, -0.5
 #: Element names of HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "head"}
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label"}
 CONTENT = {"article", "main"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Blocks that hold running text.
+TEXT = set("p li ul ol dl dt dd blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption table caption tbody thead tfoot tr td th".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 NOT_CONTENT = regex.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|newsletter|subscribe|subscription|paywall|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", regex.I)
 TOKEN = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""", regex.S)
@@ -105,16 +109,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         yield "t:" + name, "", name not in INLINE, out_of is not None
 
 
+def tag_floor(name: str) -> float:
+    """The least weight of a tag, which it has where no labelled page shows it."""
+    return TAG_RANGE[1] if name in INLINE else TEXT_TAG if name in TEXT else DEFAULT_TAG
+
+
 def count_kinds(page: str) -> tuple[Counter, Counter] | None:
     """Token kinds inside and outside the marked content of a labelled page; None if it marks none that holds most words."""
-    counts, depth, name = (Counter(), Counter()), 0, None
-    for kind, text, _, _ in tokens(page):
+    counts, words, depth, name = (Counter(), Counter()), [0, 0], 0, None
+    for kind, text, _, out in tokens(page):
         tag = kind[2:]
         if kind[0] == "t" and tag in CONTENT and (name is None or name == tag):
             depth, name = (depth + 1, tag) if depth == 0 else (0, None)
             continue
-        counts[0 if depth else 1][kind] += len(text.split()) if kind[0] == "w" else 1
-    words = [sum(n for k, n in c.items() if k[0] == "w") for c in counts]
+        side, n = 0 if depth else 1, len(text.split()) if kind[0] == "w" else 1
+        words[side] += n if kind[0] == "w" else 0
+        if not out:
+            counts[side][kind] += n
     return counts if words[0] > words[1] else None
 
 
@@ -123,7 +134,7 @@ def learn(inside: Counter, outside: Counter) -> dict[str, float]:
     weights = {}
     a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
     for kind in inside.keys() | outside.keys():
-        lo, hi = WORD_RANGE if kind[0] == "w" else TAG_RANGE
+        lo, hi = WORD_RANGE if kind[0] == "w" else (tag_floor(kind[2:]), TAG_RANGE[1])
         odds = math.log((inside[kind] + 0.5) / a) - math.log((outside[kind] + 0.5) / b)
         weights[kind] = min(hi, max(lo, odds if kind[0] == "w" else 4 * (odds - 1)))
     return weights
@@ -158,10 +169,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for i, (kind, text, _, out) in enumerate(seq):
         if kind[0] == "w":
             n = len(text.split())
-            # what is left out can't be content: its words don't pull the region over it
-            total += 0.0 if out else n * weights.get(kind, DEFAULT_WORD)
+            score = n * weights.get(kind, DEFAULT_WORD)
         else:
-            total += weights.get(kind, DEFAULT_TAG)
+            score = weights.get(kind, tag_floor(kind[2:]))
+        # what is left out can't be content: it neither pulls the region over it nor parts what lies around it
+        total += 0.0 if out else score
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

@@ -3,7 +3,7 @@ import os
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -125,6 +125,28 @@ def test_extract(spark, empty):
     assert extract.extract(t.limit(0)).count() == 0
 
 
+def test_extract_keeps_lists_links_and_asides_anywhere_in_an_article():
+    para = "<p>" + "some words of a plain paragraph here " * 3 + "</p>"
+    menu = "<nav><ul>" + '<li><a href="/">Menu item</a></li>' * 6 + "</ul></nav>"
+    page = lambda body: f"<html><head><title>t</title></head><body>{menu}<div><p>Shop</p></div><article>{body}</article><div><p>Terms</p></div></body></html>"
+    counts = [extract.count_kinds(page(para * 5)) for _ in range(50)]
+    weights = extract.learn(sum((c[0] for c in counts), Counter()), sum((c[1] for c in counts), Counter()))
+    inside = " ".join(para[3:-4].split())
+    items = "<ul>" + "".join(f"<li>point {k} of the <a href='/x'>list</a></li>" for k in range(3)) + "</ul>"
+    points = [f"point {k} of the list" for k in range(3)]
+    title, more = "<h1><a href='/'>A linked title</a></h1>", "<p>Read more at <a href='/y'>our site</a>.</p>"
+    aside = "<aside><ul>" + '<li><a href="/">Other story</a></li>' * 6 + "</ul></aside>"
+    for body, want in (
+        (items + para * 2, [*points, inside, inside]),
+        (para + items + para, [inside, *points, inside]),
+        (para * 2 + items, [inside, inside, *points]),
+        (title + para + more, ["A linked title", inside, "Read more at our site."]),
+        (para + aside + para * 4, [inside] * 5),
+        (aside + para + items + aside, [inside, *points]),
+    ):
+        assert extract.main_text(page(body), weights) == "\n\n".join(want)
+
+
 def test_maximum_scoring_run_matches_brute_force():
     rng = random.Random(4)
     weights = {"w:p": 1.0, "w:li": 0.3, "t:p": -0.5, "t:li": -3.0, "t:ul": -4.0, "w:": 0.5}
