@@ -2,7 +2,10 @@ r"""BPE encoding and decoding with a contiguous rank array (op9).
 
 A word is held as two arrays: the ids of its parts, and beside each part the rank of merging it with the next (NONE if no merge has it).
 The least rank is found by a scan, its boundary is deleted, and only the two neighbouring ranks are looked up again. For short words,
-nearly all, this beats a heap or a linked list. Encoded words are remembered in a table of bounded size.
+nearly all, this beats a heap or a linked list. Words of over LONG bytes would take quadratic time and are merged with a heap over linked
+parts, in the same order. Encoded words are remembered in a table of bounded size.
+
+Splitting and lower-casing follow Python's Unicode tables, with the letters that Unicode 16.0 and 17.0 added as the library sees them.
 
 The vocabulary file is a parameter (the JSON of the tokenizers library). Supported: BPE without continuing prefix, an optional end-of-word
 suffix, byte-level alphabets, NFC and lower-case normalisers, one split pattern, special tokens matched in the raw text.
@@ -17,7 +20,9 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import regex
@@ -26,7 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import map_rows, table, texts
 
 NONE = 1 << 60
-CACHE_WORDS = 120_000
+CACHE_WORDS = 60_000
+#: Bytes of the longest word that is merged by scans; longer ones take a heap, with the same result.
+LONG = 256
 #: White_Space of Unicode, as the library's patterns see `\s` (Python's has four more).
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -39,12 +46,27 @@ def byte_alphabet() -> list[str]:
     return [char[b] for b in range(256)]
 
 
-def newer_letters() -> str:
-    """A class of the letters and digits that Python's Unicode tables leave unassigned and `regex` knows."""
+#: Letters and digits that Unicode 16.0 added, which the library's pattern classes know (first, last).
+UNICODE_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Lower-case letters of Unicode 16.0 and 17.0 that Python's tables may lack (first upper, last upper, first lower).
+LOWER_NEW = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+STAND_IN = "\ue000"  # neither a letter nor a digit nor white space
+
+
+def newer_letters(known=()) -> str:
+    """A class of the letters and digits that Python's Unicode tables leave unassigned and `regex` knows, without those in `known`."""
     every = "".join(map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x110000))))
     ranges: list[list[int]] = []
     for c in map(ord, regex.findall(r"[\p{L}\p{N}]", every)):
-        if unicodedata.category(chr(c)) == "Cn":
+        if unicodedata.category(chr(c)) == "Cn" and not any(a <= c <= b for a, b in known):
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
             else:
@@ -81,9 +103,11 @@ class Bpe:
             self.rank[vocab[a] << 32 | vocab[b]] = (r, vocab[a + b])
         kinds, pattern = self._steps(spec)
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
-        self.find = regex.compile(pattern.replace(r"\s", WHITE)).findall
         self.newer = re.compile(newer_letters()).search
-        self.path = path
+        self.hide = re.compile(newer_letters(UNICODE_16)).sub
+        self.lower_new = {a + i: c + i for a, b, c in LOWER_NEW for i in range(b - a + 1)}
+        self.pattern = regex.compile(pattern.replace(r"\s", WHITE))
+        self.find = self.pattern.findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.known: dict[str, bytes] = {}
 
@@ -117,30 +141,60 @@ class Bpe:
                 ranks[i - 1] = rank.get(ids[i - 1] << 32 | ids[i], none)
         return ids
 
-    def _by_library(self, text: str) -> list[bytes]:
-        """The same for texts with letters newer than Python's tables: normalised and split by the library, merged here."""
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(self.path)
-        of = {c: b for b, c in enumerate(self.alphabet)}
-        words = t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))
-        return [np.array(self.merge(bytes(of[c] for c in w)), "<u4").tobytes() for w, _ in words if w]
+    def merge_long(self, data: bytes) -> list[int]:
+        """The same for a long word, whose scans would be quadratic: a heap of (rank, place) over linked parts; equal ranks left to right."""
+        ids = array("q", [self.start[b] for b in data])
+        n = len(ids)
+        ids[n - 1] = self.last[data[-1]]
+        rank, none = self.rank, (NONE, 0)
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        heap = [r << 40 | i for i, r in enumerate(rank.get(a << 32 | b, none)[0] for a, b in zip(ids, ids[1:])) if r != NONE]
+        heapify(heap)
+        while heap:
+            top = heappop(heap)
+            i = top & (1 << 40) - 1
+            j = after[i] if ids[i] >= 0 else n
+            if j >= n:
+                continue
+            r, merged = rank.get(ids[i] << 32 | ids[j], none)
+            if r != top >> 40:  # an older entry: one of the parts has changed since
+                continue
+            ids[i], ids[j] = merged, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                r = rank.get(merged << 32 | ids[k], none)[0]
+                if r != NONE:
+                    heappush(heap, r << 40 | i)
+            h = before[i]
+            if h >= 0:
+                r = rank.get(ids[h] << 32 | merged, none)[0]
+                if r != NONE:
+                    heappush(heap, r << 40 | h)
+        return [x for x in ids if x >= 0]
+
+    def _words(self, text: str) -> list[str]:
+        """Normalised words of a text that has letters newer than Python's tables: those that the pattern's classes don't know stand aside."""
+        if self.lower:
+            text = text.translate(self.lower_new)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(self.hide(STAND_IN, text))]
 
     def _plain(self, text: str) -> list[bytes]:
+        newer = False
         if not text.isascii():
-            if not _latin(text) and self.newer(text):
-                return self._by_library(text)
+            newer = not _latin(text) and self.newer(text)
             if self.nfc:
                 text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
         known, out = self.known, []
-        for w in self.find(text):
+        for w in self._words(text) if newer else self.find(text):
             x = known.get(w)
             if x is None:
                 if len(known) >= CACHE_WORDS:
                     known.clear()
-                x = np.array(self.merge(w.encode()), "<u4").tobytes()
+                data = w.encode()
+                x = np.array(self.merge(data) if len(data) <= LONG else self.merge_long(data), "<u4").tobytes()
                 if len(w) <= 64:
                     known[w] = x
             out.append(x)
