@@ -5,12 +5,15 @@ is flat: one 8-bit sample, held as a DC coefficient (quantiser 8 of a transform
 sample back exactly, and a payload of 576 bytes a frame is stored losslessly. Every block row is a restart interval: rows are coded
 apart, begin at byte borders after RSTn markers, and are encoded and decoded all at once as arrays, sample column by sample column.
 
+Other motion-JPEG files are read too: baseline frames with AC coefficients, colour, subsampling, any restart interval and the standard
+Huffman tables where a frame has none, block by block (`decode_image`); `file_clips` makes timed clip rows of a column of AVI files.
+
 Shots: the 16-bin histogram of each decoded frame is compared with the one before; a cut is where the difference exceeds the mean plus
 DEVIATIONS standard deviations of the WINDOW differences before it (and FLOOR), so the threshold adapts to the stream.
 
 Edge cases: null text is an empty payload, padded to one frame of bytes 255; texts with bytes 255 at their end are distinguished by
 n_bytes; equal texts give equal values; a null doc_id and repeated rows give a row each; an empty table gives no rows; a damaged file
-raises ValueError in read_avi; extra columns are not read.
+raises ValueError in read_avi; a null or damaged file gives no clips but one row that says why; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +52,24 @@ _BITS = np.array([((_CODES[c][0] << c | (d if d > 0 else d + (1 << c) - 1)) << 1
 _LENGTHS = np.array([_CODES[c][1] + c + 1 for c in _CATEGORY.tolist()], np.int64)
 
 
+#: The other tables of Annex K, for frames without tables of their own: code lengths, then values.
+DC_CHROMA = (0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0)
+AC_LUMA = (
+    (0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125),
+    "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 29 2a"
+    " 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 8a"
+    " 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da"
+    " e1 e2 e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 f9 fa",
+)
+AC_CHROMA = (
+    (0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119),
+    "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 27 28 29 2a"
+    " 35 36 37 38 39 3a 43 44 45 46 47 48 49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 88 89 8a"
+    " 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da"
+    " e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 f9 fa",
+)
+
+
 def _lookup(codes: list[tuple[int, int]], values) -> tuple[np.ndarray, np.ndarray]:
     """For each 16-bit prefix: the value coded first, and its code length (0: none)."""
     value, length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
@@ -183,6 +204,119 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     return out.reshape(len(frames), -1)
 
 
+#: Places of the 64 coefficients in a block, by the diagonals that alternate in direction.
+ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8))
+_COS = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _standard_tables() -> dict[int, tuple]:
+    of = lambda counts, values: _lookup(_canonical(counts), values)
+    return {0x00: of(DC_BITS, DC_CATEGORIES), 0x01: of(DC_CHROMA, DC_CATEGORIES), 0x10: of(AC_LUMA[0], bytes.fromhex(AC_LUMA[1])), 0x11: of(AC_CHROMA[0], bytes.fromhex(AC_CHROMA[1]))}
+
+
+def decode_image(frame: bytes) -> np.ndarray:
+    """A baseline JPEG -> uint8 (height, width, components as stored: Y or Y, Cb, Cr), chroma repeated to full size."""
+    if frame[:2] != b"\xff\xd8":
+        raise ValueError("no SOI marker")
+    pos, quant, huff, restart, shape, parts = 2, {}, _standard_tables(), 0, None, []
+    while True:
+        if pos + 4 > len(frame) or frame[pos] != 0xFF:
+            raise ValueError("damaged JPEG header")
+        marker, size = frame[pos + 1], int.from_bytes(frame[pos + 2 : pos + 4], "big")
+        body = frame[pos + 4 : pos + 2 + size]
+        pos += 2 + size
+        if marker == 0xDB:
+            while body:
+                wide = 1 + (body[0] >> 4)
+                quant[body[0] & 15] = np.frombuffer(body[1 : 1 + 64 * wide], ">u2" if wide == 2 else np.uint8).astype(np.float64)
+                body = body[1 + 64 * wide :]
+        elif marker == 0xC4:
+            while body:
+                n = sum(body[1:17])
+                huff[body[0]] = _lookup(_canonical(body[1:17]), body[17 : 17 + n])
+                body = body[17 + n :]
+        elif marker in (0xC0, 0xC1):
+            depth, high, wide, n = struct.unpack(">BHHB", body[:6])
+            shape, parts = (high, wide), [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            if depth != 8:
+                raise ValueError("not 8 bits a sample")
+        elif 0xC2 <= marker <= 0xCF:
+            raise ValueError("not a baseline frame")
+        elif marker == 0xDD:
+            restart = int.from_bytes(body[:2], "big")
+        elif marker == 0xDA:
+            if shape is None or body[0] != len(parts):
+                raise ValueError("not one scan of all components")
+            tables = {body[1 + 2 * i]: (huff[body[2 + 2 * i] >> 4], huff[0x10 | body[2 + 2 * i] & 15]) for i in range(body[0])}
+            break
+    most_h, most_v = max(p[1] for p in parts), max(p[2] for p in parts)
+    if len(parts) == 1:  # one component is not interleaved: its units are single blocks
+        parts = [(parts[0][0], 1, 1, parts[0][3])]
+        most_h = most_v = 1
+    across, down = -(-shape[1] // (8 * most_h)), -(-shape[0] // (8 * most_v))
+    blocks = [np.zeros((down * v, across * h, 64)) for _, h, v, _ in parts]
+    last, unit, total = [0] * len(parts), 0, across * down
+    data = np.frombuffer(frame, np.uint8)[pos:]
+    mark = np.flatnonzero(data[:-1] == 255)
+    stops = mark[data[mark + 1] != 0]
+    begin = 0
+    for stop in stops.tolist():
+        raw = frame[pos + begin : pos + stop].replace(b"\xff\x00", b"\xff") + bytes(8)
+        at, end = 0, 8 * (len(raw) - 8)
+        until = min(total, unit + (restart or total))
+        last = [0] * len(parts)
+
+        def code(table):
+            nonlocal at
+            w = int.from_bytes(raw[at >> 3 : (at >> 3) + 3], "big") >> (8 - (at & 7)) & 0xFFFF
+            n = int(table[1][w])
+            if not n or at + n > end:
+                raise ValueError("damaged scan")
+            at += n
+            return int(table[0][w])
+
+        def value(n):
+            nonlocal at
+            v = int.from_bytes(raw[at >> 3 : (at >> 3) + 4], "big") >> (32 - n - (at & 7)) & (1 << n) - 1 if n else 0
+            at += n
+            return v if not n or v >> n - 1 else v - (1 << n) + 1
+
+        while unit < until:
+            for c, (name, h, v, _) in enumerate(parts):
+                dc, ac = tables[name]
+                for y in range(v):
+                    for x in range(h):
+                        block = blocks[c][unit // across * v + y, unit % across * h + x]
+                        last[c] += value(code(dc))
+                        block[0], k = last[c], 1
+                        while k < 64:
+                            s = code(ac)
+                            if not s & 15:
+                                if s != 0xF0:
+                                    break
+                                k += 16
+                                continue
+                            k += s >> 4
+                            if k > 63:
+                                raise ValueError("damaged scan")
+                            block[ZIGZAG[k]] = value(s & 15)
+                            k += 1
+            unit += 1
+        begin = stop + 2
+        if unit >= total:
+            break
+    if unit < total:
+        raise ValueError("frame cut short")
+    planes = []
+    for (_, h, v, q), b in zip(parts, blocks):
+        table = np.empty(64)
+        table[ZIGZAG] = quant[q]
+        flat = _COS.T @ (b * table).reshape(*b.shape[:2], 8, 8) @ _COS + 128
+        plane = np.clip(np.rint(flat), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(b.shape[0] * 8, b.shape[1] * 8)
+        planes.append(plane.repeat(most_v // v, 0).repeat(most_h // h, 1)[: shape[0], : shape[1]])
+    return np.stack(planes, axis=2)
+
+
 def _chunk(kind: bytes, body: bytes) -> bytes:
     return kind + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
 
@@ -227,15 +361,28 @@ def read_avi(data: bytes) -> list[bytes]:
         pos += 8 + size + (size & 1)
     if movi is None or index is None:
         raise ValueError("no movi list or no index")
-    frames = []
+    frames, base = [], movi
     for kind, _, at, size in index.tolist():
-        start = movi + at
-        if data[start : start + 8] != struct.pack("<II", kind, size):
+        if struct.pack("<I", kind)[2:] not in (b"dc", b"db"):
+            continue  # sound, palettes
+        head = struct.pack("<II", kind, size)
+        if not frames and data[movi + at : movi + at + 8] != head:
+            base = 0  # some writers count from the file's start
+        start = base + at
+        if data[start : start + 8] != head:
             raise ValueError("the index points to no chunk")
         frames.append(data[start + 8 : start + 8 + size])
     return frames
 
 
+def frame_seconds(data: bytes) -> float:
+    """Seconds a frame, by the main header."""
+    at = data.find(b"avih", 0, 4096)
+    if at < 0:
+        raise ValueError("no main header")
+    return struct.unpack("<I", data[at + 8 : at + 12])[0] / 1e6
+
+
 def samples(frames: list[bytes]) -> np.ndarray:
     return np.concatenate([decode_frames(frames[k : k + CHUNK_FRAMES]) for k in range(0, len(frames), CHUNK_FRAMES)])
 
@@ -243,10 +390,14 @@ def samples(frames: list[bytes]) -> np.ndarray:
 def shot_starts(frames: np.ndarray) -> list[int]:
     """The frames at which shots begin, 0 first, by adaptive histogram differences."""
     n = len(frames)
+    return _cuts(np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS) / max(1, frames.shape[1]))
+
+
+def _cuts(hist: np.ndarray) -> list[int]:
+    n = len(hist)
     if n < 2:
         return [0] * (n > 0)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
-    diff = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * frames.shape[1])
+    diff = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     sums, squares = np.concatenate(([0], np.cumsum(diff))), np.concatenate(([0], np.cumsum(diff * diff)))
     i = np.arange(len(diff))
     lo = np.maximum(i - WINDOW, 0)
@@ -275,6 +426,36 @@ def clips(docs: DataFrame) -> DataFrame:
     return map_rows(texts(docs), make, "doc_id long, clip int, start_s double, end_s double, n_frames long")
 
 
+def file_clips(files: DataFrame, key: str, media: str) -> DataFrame:
+    """Timed clip rows of a column of AVI files: the key (as it is), clip, start_s, end_s, n_frames, error. A frame is decoded at a time; its
+    luminance is kept as a histogram."""
+    kind = dict(files.dtypes)[key]
+
+    def make():
+        def rows(x):
+            out = {k: [] for k in (key, "clip", "start_s", "end_s", "n_frames", "error")}
+            for name, data in zip(x[key], x[media]):
+                try:
+                    if data is None:
+                        raise ValueError("no file")
+                    data, hist = bytes(data), []
+                    for frame in read_avi(data):
+                        luma = decode_image(frame)[:, :, 0]
+                        hist.append(np.bincount((luma >> 4).ravel(), minlength=BINS) / luma.size)
+                    starts, step = _cuts(np.array(hist)), frame_seconds(data)
+                    found = [(name, k, a * step, b * step, b - a, None) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(hist)]))]
+                except (ValueError, KeyError, IndexError, struct.error) as e:
+                    found = [(name, None, None, None, None, f"{type(e).__name__}: {e}")]
+                for row in found:
+                    for c, v in zip(out, row):
+                        out[c].append(v)
+            return out
+
+        return rows
+
+    return map_rows(files.select(key, files[media].cast("binary").alias(media)), make, f"`{key}` {kind}, clip int, start_s double, end_s double, n_frames long, error string")
+
+
 def padded(text: str | None) -> tuple[int, bytes]:
     data = (text or "").encode()
     return len(data), data + b"\xff" * (FRAME * max(1, -(-len(data) // FRAME)) - len(data))
