@@ -8,14 +8,16 @@ less than tag_floor says, so that a kind the labelled articles happen to lack ou
 counted nor scored, words and tags alike. At most
 SAMPLE labelled pages (those with the least hashes of page_id) are counted; where none is labelled, the defaults stand.
 
-Inside the region, elements that are no content are left out: scripts, styles, forms, menus, headers and footers of the page, asides, and
-elements whose class, id or role names an advert, notice, sidebar, menu, share box or comment list.
+Inside the region, elements that are no content are left out: scripts, styles, menus, headers and footers, asides, controls; and, unless
+they hold over half of the other words (a form or a layout around the whole page), forms and elements whose class, id or role is the name
+of an advert, notice, sidebar, menu, share box or comment list. A name counts as a whole: `sidebar` does, `with-sidebar` does not.
 
 Text: character references decoded, white space inside a block made one space, trimmed, blocks joined in page order by two newlines. `br`
 and inline tags don't end a block.
 
-Edge cases: null or empty html, or html without words: empty text; text outside of any tag is a block of its own; unclosed elements end
-with their page, and a left-out element that isn't closed ends where an article begins; repeated rows and null ids give a row each; an
+Edge cases: null or empty html, or html without words: empty text; text outside of any tag is a block of its own; of equal runs
+the first counts; unclosed elements end with the element around them, a left-out one where an article begins, a script where a block
+begins, and they are kept if they hold over half of the words; repeated rows and null ids give a row each; an
 empty table gives no rows; extra columns are not read.
 """
 
@@ -24,8 +26,8 @@ from __future__ import annotations
 import html as entities
 import math
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -37,76 +39,116 @@ SAMPLE = 1000
 WORD_RANGE, TAG_RANGE = (0.25, 2.0), (-2.0, -0.05)
 DEFAULT_WORD, DEFAULT_TAG, TEXT_TAG = 1.0, -2.0, -0.5
 #: Element names of HTML.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "select", "object", "head"}
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label"}
+RAW = {"script", "style", "textarea", "title"}
+LEFT_OUT = set("nav header footer aside form button menu dialog fieldset label noscript template iframe svg select object datalist noframes".split())
 CONTENT = {"article", "main"}
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Inline elements, those of formulas among them.
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math q s samp small span strike strong sub sup time tt u var wbr input mi mn mo ms mrow mfrac msqrt mroot msup msub msubsup mover munder mtext mspace mstyle semantics annotation".split())
 #: Blocks that hold running text.
 TEXT = set("p li ul ol dl dt dd blockquote pre h1 h2 h3 h4 h5 h6 figure figcaption table caption tbody thead tfoot tr td th".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NOT_CONTENT = regex.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|newsletter|subscribe|subscription|paywall|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|comments?|replies|disqus|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", regex.I)
+#: Elements whose end tag may be missing -> the tags that end them when they open.
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+ENDS_P = TEXT | CONTENT | LEFT_OUT - {"button", "label", "svg", "select", "object", "iframe"} | {"div", "section", "hr", "address", "details"}
+#: A whole class or id that names what is no content, on its own, before a further part, or after the part of a page it stands for.
+NOT_CONTENT = regex.compile(
+    r"(?:(?:site|page|main|top|bottom|left|right|post|global|primary|secondary|user|reader|article|entry|sticky|mobile)[_-])?"
+    r"(?:(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice\w*|notification\w*|alert|popup|modal|newsletter|subscribe|subscription|paywall|sidebar|menu|nav\w*|breadcrumbs?|footer|header|masthead|sharing|share|comments?|replies|disqus|widget|toolbar|pagination|pager|login|signup)(?:[_-].*)?"
+    r"|side|social(?:[_-](?:share|links|media|icons|buttons|bar))?|related(?:[_-](?:posts|articles|links|stories|content|items))?|recommend(?:ed|ations?)(?:[_-].*)?|search(?:[_-]?(?:form|box|bar|field|input))?)",
+    regex.I,
+)
 TOKEN = regex.compile(r"""<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""", regex.S)
-MARKS = regex.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
+BLOCK_START = regex.compile(r"<(?:p|div|section|article|main|h[1-6]|ul|ol|table|blockquote)(?=[\s>])", regex.I)
+MARKS = regex.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
+HIDDEN = regex.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", regex.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog"}
 
 
-def _is_left_out(name: str, attrs: str) -> bool:
-    if name in LEFT_OUT:
-        return True
+def hinted(name: str, attrs: str) -> bool:
+    """Whether an element's class, id or role says that it is no content."""
     if not attrs or name in CONTENT or name in ("body", "html"):
         return False
-    low = attrs.lower()
-    if " hidden" in low and regex.search(r"(?:^|\s)hidden(?:\s|=|$)", low):
+    if HIDDEN.search(attrs):
         return True
     for m in MARKS.finditer(attrs):
-        value = m[1] or m[2] or m[3] or ""
-        if value in ROLES or NOT_CONTENT.search(value):
+        value = m[2] or m[3] or m[4] or ""
+        if m[1].lower() == "role":
+            if value.lower() in ROLES:
+                return True
+        elif name not in HEADINGS and any(map(NOT_CONTENT.fullmatch, value.split())):
             return True
     return False
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(kind, text, breaks, out): kind "w:<block>" for a run of text in a block, "t:<name>" for a tag, "" for a dropped part.
+def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
+    """(kind, text, breaks, out): kind "w:<block>" for a run of text in a block, "t:<name>" for a tag.
+
+    breaks: a block border; out: in a left-out element. Those are told by their names; or, unless they hold over half of the words that
+    those of the first kind leave, by a class, id or role, or by being a form or an element without an end tag."""
+    seq: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, int, int]] = []  # open elements: name, place, 2: left out by name, 1: hinted
+    spans: list[tuple[int, int, bool]] = []  # of left-out candidates; whether that is certain
+    pos, block, end = 0, "", len(page)
+
+    def close(depth: int, tagged: bool) -> None:
+        """The elements of the stack from `depth` on end here; only the first of them by its own tag."""
+        for k, (name, at, mark) in enumerate(stack[depth:]):
+            if mark:
+                spans.append((at, len(seq), mark == 2 and tagged and not k and name != "form"))
+        del stack[depth:]
 
-    breaks: a block border; out: in a left-out element.
-    """
-    pos, block = 0, ""
-    out_of: str | None = None  # the left-out element that is open, and how deep elements of its name are
-    depth = 0
-    find = TOKEN.match
-    end = len(page)
     while pos < end:
-        m = find(page, pos)
+        m = TOKEN.match(page, pos)
         pos = m.end()
-        text = m["text"]
-        if text is not None:
-            yield "w:" + block, text, False, out_of is not None
+        if m["text"] is not None:
+            seq.append(("w:" + block, m["text"], False))
+            continue
+        if m["name"] is None:
+            continue
+        name, attrs, closing = m["name"].lower(), m["attrs"] or "", bool(m["close"])
+        inline = name in INLINE
+        if closing:
+            seq.append(("t:" + name, "", not inline))
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            if depth is not None:
+                close(depth, True)
+            if not inline:
+                block = ""
             continue
-        name = m["name"]
-        if name is None:
+        if name in RAW:
+            stop = regex.compile(rf"</{name}(?![\w-])[^>]*>", regex.I).search(page, pos) or BLOCK_START.search(page, pos)
+            pos = (stop.end() if page[stop.start() + 1] == "/" else stop.start()) if stop else end
+            spans.append((len(seq), len(seq) + 1, True))
+            seq.append(("t:" + name, "", True))
             continue
-        name = name.lower()
-        closing = bool(m["close"])
-        if name in RAW and not closing:
-            if name != "head":
-                stop = regex.compile(rf"</{name}(?![\w-])[^>]*>", regex.I).search(page, pos)
-                pos = stop.end() if stop else end
-                yield "t:" + name, "", True, True
-                continue
-        if out_of is not None:
-            if name == out_of:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    yield "t:" + name, "", True, True
-                    out_of, block = None, ""
-                    continue
-            elif name in CONTENT and not closing:
-                out_of = None
-        elif not closing and name not in VOID and _is_left_out(name, m["attrs"] or ""):
-            out_of, depth = name, 1
-        if name not in INLINE:
-            block = "" if closing else name
-        yield "t:" + name, "", name not in INLINE, out_of is not None
+        if stack and (name in ENDED_BY.get(stack[-1][0], ()) or stack[-1][0] == "p" and name in ENDS_P):
+            close(len(stack) - 1, False)
+        mark = 0
+        if name not in VOID and not (name in ("svg", "math") and attrs.endswith("/")):
+            mark = 2 if name in LEFT_OUT else int(hinted(name, attrs))
+            stack.append((name, len(seq), mark))
+        if not inline:
+            block = name
+        seq.append(("t:" + name, "", not inline or mark > 0))
+    starts = [i for i, x in enumerate(seq) if x[0][2:] in CONTENT]
+    for k, (name, at, mark) in enumerate(stack):
+        if mark:  # never closed: it ends where an article begins
+            spans.append((at, next((i for i in starts if i > at), len(seq)), False))
+    if not spans:
+        return [(*x, False) for x in seq]
+    gone = np.zeros(len(seq) + 1, np.int64)
+    words = np.array([len(x[1].split()) for x in seq], np.int64)
+    for a, b, certain in spans:
+        if certain:
+            gone[a] += 1
+            gone[b] -= 1
+    held = np.concatenate(([0], np.cumsum(np.where(np.cumsum(gone[:-1]) > 0, 0, words))))
+    for a, b, certain in spans:
+        if not certain and 2 * (held[b] - held[a]) <= held[-1]:
+            gone[a] += 1
+            gone[b] -= 1
+    return [(*x, out) for x, out in zip(seq, (np.cumsum(gone[:-1]) > 0).tolist())]
 
 
 def tag_floor(name: str) -> float:
@@ -141,7 +183,7 @@ def learn(inside: Counter, outside: Counter) -> dict[str, float]:
 
 
 def learned_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most `sample` labelled pages; a few hundred kinds at most come to the driver."""
+    """Weights from at most `sample` labelled pages; what comes to the driver is the kinds of tokens that those have."""
     marked = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["html"].cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
     # ids first: what one task merges is a few bytes a page, and the pages are fetched where they are
     ids = marked.select("page_id").filter("page_id IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
@@ -155,16 +197,16 @@ def learned_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
                 if c := count_kinds(page):
                     a.update(c[0])
                     b.update(c[1])
-        kinds = sorted(k for k in a.keys() | b.keys() if len(k) < 24)
+        kinds = sorted(a.keys() | b.keys())
         yield pa.RecordBatch.from_pydict({"kind": kinds, "inside": [a[k] for k in kinds], "outside": [b[k] for k in kinds]}, schema=schema)
 
-    rows = some.mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).orderBy((-F.col("i") - F.col("o")), "kind").limit(500).collect()
+    rows = some.mapInArrow(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
     return learn(Counter({r.kind: r.i for r in rows}), Counter({r.kind: r.o for r in rows})) if rows else {}
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The text of the content region of a page."""
-    seq = list(tokens(page or ""))
+    seq = tokens(page or "")
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, text, _, out) in enumerate(seq):
         if kind[0] == "w":
