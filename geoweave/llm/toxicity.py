@@ -3,23 +3,22 @@ r"""Toxicity by subword-bag embeddings averaged into a linear softmax (op7), tra
 A word (white-space token, lower-cased, stripped of outer punctuation) is the mean of the embeddings of its character n-grams (3 to 5,
 with word ends marked) and of itself; a document is the mean of its words; two logits follow by a linear layer of fixed scale. Embeddings
 and layer are trained jointly with Adam, so that misspellings never seen in training share the n-gram vectors of what they resemble.
+Words are found and their n-grams hashed to buckets as arrays of code points, CHUNK characters at a time.
 
-Fit: on labelled rows that are not held out (crc32 of the doc_id's text mod 4 is 2 for held-out ones). At most ROWS rows of each label,
-those with the least hashes, of at most CHARS characters each; their loss is weighted back to the labels' shares among all training rows.
-Only text is ever an input. Without rows of both labels, every score is the share of label 1 (0 without labels).
+Fit: on labelled rows that are not held out (crc32 of the doc_id's text mod 4 is 2 for held-out ones). At most ROWS rows of label 1 and
+twice as many of label 0, those with the least hashes; of a text of over CHARS characters, a passage of CHARS at a place that is a hash of
+its doc_id. Their loss is weighted back to the labels' shares among all training rows. Only text is ever an input. Without rows of both
+labels, every score is the share of label 1 (0 without labels).
 
 Scoring covers every whole text. A model is a scalar per bucket at that point (embedding times layer), BUCKETS doubles whatever the data.
 
 Edge cases: null and empty texts score as a document without words (the bias alone); repeated rows and null doc_ids give a row each (a
-null doc_id is not held out); labels that are null are not used; an empty table gives no rows; extra columns are not read.
+null doc_id is not held out); labels that are null are not used; of texts that share a labelled doc_id the least is learned from; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import string
-import zlib
-from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +29,107 @@ from .common import map_rows, slices, table, texts
 
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
 ROWS, CHARS, BUCKETS, DIM = 2000, 20_000, 1 << 17, 6
-STEPS, BATCH, RATE, SCALE, DECAY, MIN_DF, SEED = 400, 128, 0.02, 100.0, 1e-4, 8, 7
-CACHE_WORDS = 150_000
+STEPS, BATCH, RATE, SCALE, DECAY, MIN_DF, SEED = 400, 128, 0.02, 100.0, 1e-4, 3, 7
+CHUNK, GRAMS = 1 << 18, (3, 4, 5)
 EDGE = string.punctuation + "«»“”„’‘…¡¿"
-
-
-def word_of(token: str) -> str:
-    return token.strip(EDGE).lower()
-
-
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a word and its n-grams."""
-    w = f"<{word}>"
-    crc, n = zlib.crc32, len(w)
-    out = [crc(w.encode()) % buckets]
-    if w.isascii():
-        data = w.encode()
-        for k in (3, 4, 5):
-            if k < n:
-                out += [crc(data[i : i + k]) % buckets for i in range(n - k + 1)]
-    else:
-        for k in (3, 4, 5):
-            if k < n:
-                out += [crc(w[i : i + k].encode()) % buckets for i in range(n - k + 1)]
-    return out
+#: White space of Unicode, as str.split() sees it.
+SPACE = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE, _EDGE = np.zeros(0x3001, bool), np.zeros(0x3001, bool)
+_SPACE[SPACE] = True
+_EDGE[[ord(c) for c in EDGE]] = True
+_A, _R, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
+_POW = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(4095, _R))), dtype=np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _M
+    return h ^ (h >> np.uint64(29))
+
+
+def words_of(docs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, where each word begins and ends (begin = end: it was all punctuation), and whose it is."""
+    lower = [(d or "").lower() for d in docs]
+    points = np.frombuffer(" ".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    small = np.minimum(points, 0x3001 - 2)  # neither space nor edge lies beyond, but for U+3000
+    space = _SPACE[small] | (points == 0x3000)
+    change = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
+    begin, end = change[::2], change[1::2]
+    inner = np.flatnonzero(~space & ~_EDGE[small])
+    lo, hi = np.searchsorted(inner, begin), np.searchsorted(inner, end)
+    whole = hi > lo
+    begin, end = np.where(whole, np.append(inner, 0)[np.minimum(lo, len(inner))], begin), np.where(whole, np.append(inner, 0)[hi - 1] + 1, begin)
+    stops = np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)) + 1)
+    return points, begin, end, np.searchsorted(stops, change[::2], side="right")
+
+
+def chunks(begin: np.ndarray, end: np.ndarray):
+    """Ranges of words of about CHUNK characters, or of one word."""
+    sizes = np.cumsum(end - begin + 2)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + CHUNK, side="right")))
+        yield i, j
+        i = j
+
+
+def subwords(points: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Of words: (64-bit hash of each word, start of each in the marked characters, per n-gram size: hashes at each place and which count)."""
+    size = end - begin + 2
+    first = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(first, size)
+    ends = np.repeat(size, size)
+    marked = points[np.minimum(np.repeat(begin, size) + place - 1, len(points) - 1)].astype(np.uint64)
+    marked[first], marked[first + size - 1] = ord("<"), ord(">")
+    c = _mix((marked + np.uint64(1)) * _A)
+    words = _mix(np.add.reduceat(c * _POW[place & 4095], first) + np.uint64(1))
+    grams = []
+    for k in GRAMS:
+        h = np.zeros(len(c), np.uint64)
+        if len(c) >= k:
+            total = c[: len(c) - k + 1].copy()
+            for i in range(1, k):
+                total += c[i : len(c) - k + 1 + i] * _POW[i]
+            h[: len(total)] = _mix(total + np.uint64(k))
+        grams.append((h, (place + k <= ends) & (ends > k)))
+    return words, first, grams
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(20)) % np.uint64(buckets)
 
 
 class Model:
-    """score(text) from a scalar per bucket, a bias and a memory of words of bounded size."""
+    """score(texts) from a scalar per bucket and a bias."""
 
     def __init__(self, scalars: np.ndarray, bias: float):
-        self.scalars, self.bias, self.known = scalars.tolist(), bias, {}
+        self.scalars, self.bias = np.asarray(scalars, np.float64), float(bias)
+
+    def words(self, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The scalar of each word; 0 for those that were all punctuation."""
+        out, n = np.zeros(len(begin)), len(self.scalars)
+        for i, j in chunks(begin, end):
+            whole, first, grams = subwords(points, begin[i:j], end[i:j])
+            total, count = self.scalars[_bucket(whole, n)], np.ones(j - i)
+            for h, valid in grams:
+                total = total + np.add.reduceat(np.where(valid, self.scalars[_bucket(h, n)], 0.0), first)
+                count += np.add.reduceat(valid.astype(np.float64), first)
+            out[i:j] = np.where(end[i:j] > begin[i:j], total / count, 0.0)
+        return out
 
     def word(self, token: str) -> float:
-        w, s = word_of(token), 0.0
-        if w:
-            parts, of = subwords(w, len(self.scalars)), self.scalars
-            s = sum([of[i] for i in parts]) / len(parts)
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        if len(token) <= 40:
-            self.known[token] = s
-        return s
-
-    def score(self, text: str | None) -> float:
-        known, total, n = self.known, 0.0, 0
-        tokens = (text or "").split()
-        for t in tokens:
-            s = known.get(t)
-            total += self.word(t) if s is None else s
-        n = len(tokens)
-        z = self.bias + (total / n if n else 0.0)
-        return float(1 / (1 + np.exp(-min(500.0, max(-500.0, z)))))
+        points, begin, end, _ = words_of([token])
+        return float(self.words(points, begin, end).sum())
+
+    def score(self, docs: list[str | None]) -> np.ndarray:
+        points, begin, end, doc = words_of(docs)
+        n = np.bincount(doc, minlength=len(docs))
+        # summed document by document, so that equal texts have equal scores whatever stands beside them
+        sums = np.zeros(len(docs))
+        if len(begin):
+            some = np.flatnonzero(n)
+            sums[some] = np.add.reduceat(self.words(points, begin, end), (np.cumsum(n) - n)[some])
+        z = self.bias + sums / np.maximum(n, 1)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def _sum_rows(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -96,17 +144,27 @@ def fit(docs: list[str], labels: list[int], shares: tuple[float, float], dim: in
     if not counts.all():
         p = min(max(shares[1], 1e-6), 1 - 1e-6)
         return Model(np.zeros(buckets), float(np.log(p / (1 - p))))
-    ids: dict[str, int] = {}
-    bags = []
-    for d in docs:
-        c = Counter(d.split())
-        bags.append((np.fromiter((ids.setdefault(word_of(t), len(ids)) for t in c), np.int64, len(c)), np.fromiter(c.values(), np.float64, len(c)) / max(1, c.total())))
-    flat_list, counts_list = array("i"), array("i")
-    for w in ids:
-        parts = subwords(w, buckets) if w else []
-        flat_list.extend(parts)
-        counts_list.append(len(parts))
-    flat, number = np.frombuffer(flat_list, np.int32) if len(flat_list) else np.empty(0, np.int32), np.array(counts_list, np.int64)
+    points, begin, end, doc_of = words_of(docs)
+    keys, pieces = np.zeros(len(begin), np.uint64), []
+    for i, j in chunks(begin, end):
+        keys[i:j] = np.where(end[i:j] > begin[i:j], subwords(points, begin[i:j], end[i:j])[0], np.uint64(0))
+    names, at, word_of = np.unique(keys, return_index=True, return_inverse=True)
+    begin, end = begin[at], end[at]
+    number = np.zeros(len(names), np.int64)
+    for i, j in chunks(begin, end):
+        whole, start, grams = subwords(points, begin[i:j], end[i:j])
+        real = end[i:j] > begin[i:j]
+        owner = np.repeat(np.arange(i, j), end[i:j] - begin[i:j] + 2)
+        hashes = np.concatenate([whole[real], *(h[valid & real[owner - i]] for h, valid in grams)])
+        owners = np.concatenate([np.arange(i, j)[real], *(owner[valid & real[owner - i]] for _, valid in grams)])
+        pieces.append(_bucket(hashes, buckets)[np.argsort(owners, kind="stable")].astype(np.int32))
+        number += np.bincount(owners, minlength=len(names))
+    flat = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
+    total = np.bincount(doc_of, minlength=len(docs))
+    pairs, times = np.unique(doc_of * len(names) + word_of, return_counts=True)
+    cuts = np.searchsorted(pairs, np.arange(len(docs) + 1) * max(1, len(names)))
+    bags = [(pairs[a:b] - d * len(names), times[a:b] / max(1, total[d])) for d, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    del points, keys, word_of, pieces
     begin = np.cumsum(number) - number
     spread = np.zeros(buckets, np.int64)  # documents that a bucket occurs in
     for words, _ in bags:
@@ -115,9 +173,8 @@ def fit(docs: list[str], labels: list[int], shares: tuple[float, float], dim: in
     live = spread >= min_df
     sizes = np.maximum(1, number)  # a word is the mean over all its buckets, of which rare ones are zero
     kept = live[flat]
-    first = np.concatenate(([0], np.cumsum(np.add.reduceat(np.append(kept, False).astype(np.int64), np.minimum(begin, len(flat))) * (number > 0))))
+    first = np.concatenate(([0], np.cumsum(kept)))[np.concatenate(([0], np.cumsum(number)))]
     flat = flat[kept]
-    del flat_list, ids
     rng = np.random.default_rng(SEED)
     emb = (rng.uniform(-1 / dim, 1 / dim, (buckets, dim)) * live[:, None]).astype(np.float32)
     layer, bias = rng.normal(0, 0.3, (dim, 2)), np.zeros(2)
@@ -172,13 +229,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     total = sum(n.values())
     chosen = None
     for y in (0, 1):
-        # twice as many clean rows; a few more than needed, as some have no text or a long one
-        some = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(rows * (2 - y) * 6 // 5)
+        # twice as many clean rows; a few more than needed, as some have no text
+        some = known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows * (2 - y) * 6 // 5)
         chosen = some if chosen is None else chosen.unionAll(some)
-    picked = texts(docs).filter(F.length("text") <= CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").dropDuplicates(["doc_id"])
+    place = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - CHARS, F.lit(1))).cast("int") + 1
+    picked = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    picked = picked.withColumn("text", F.when(F.length("text") > CHARS, F.substr("text", place, F.lit(CHARS))).otherwise(F.col("text")))
     sample = []
     for y in (0, 1):
-        sample += picked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(SEED))).limit(rows * (2 - y)).collect()
+        sample += picked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows * (2 - y)).collect()
     shares = (n.get(0, 0) / total, n.get(1, 0) / total) if total else (1.0, 0.0)
     return fit([r.text for r in sample], [r.y for r in sample], shares)
 
@@ -190,8 +249,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
     def make():
         scalars, bias = sent.value
-        local = _local(scalars, bias)
-        return lambda x: {"doc_id": x["doc_id"], "score": [local.score(t) for t in x["text"]]}
+        model = Model(scalars, bias)
+        return lambda x: {"doc_id": x["doc_id"], "score": model.score(x["text"])}
 
     out = map_rows(texts(docs), make, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
@@ -204,25 +263,14 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches):
         scalars, bias = sent.value
-        local = _local(scalars, bias)
+        model = Model(scalars, bias)
         for b in batches:
             for part in slices(b):
-                yield part.filter(pa.array([local.score(t) < threshold for t in part.column("text").to_pylist()], pa.bool_()))
+                yield part.filter(pa.array(model.score(part.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-_last: list = [None, None]
-
-
-def _local(scalars: np.ndarray, bias: float) -> Model:
-    """One Model for the tasks that a worker runs with the same parameters, so that its memory of words lasts."""
-    key = (bias, float(scalars.sum()), len(scalars))
-    if _last[0] != key:
-        _last[:] = key, Model(scalars, bias)
-    return _last[1]
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
