@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from geoweave.functions import geo
 
 MARGIN = 1.01
-#: Cells of joins with lines and areas are at least this wide: a feature lies in few of them, however small the radius.
-EXTENT_CELL_M = 400.0
+#: Cells of joins with lines and with areas are at least this wide: a feature lies in few of them, however small the radius.
+LINE_CELL_M, AREA_CELL_M = 150.0, 400.0
+#: The first radius of a search for the nearest feature, and how it grows.
+START_M, GROWTH = 50.0, 4.0
 
 
 def _height(radius_m: float) -> float:
@@ -73,6 +75,16 @@ def cells_over(lat0, lon0, lat1, lon1, radius_m: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(rows, of)))
 
 
+def cells_along(lat1, lon1, lat2, lon2, radius_m: float, cell_m: float) -> Column:
+    """The cells that hold whatever is within the radius of a segment: those around points along it, close enough for a cell's reach."""
+    lat1, lon1, lat2, lon2 = map(geo._c, (lat1, lon1, lat2, lon2))
+    dlat, dlon = lat2 - lat1, geo.wrap_lon_delta(lon2 - lon1)
+    low = F.when(lat1 * lat2 > 0, F.least(F.abs(lat1), F.abs(lat2))).otherwise(0.0)
+    length = geo.METRES_PER_DEGREE * F.sqrt(dlat * dlat + F.pow(dlon * F.cos(F.radians(low)), 2))
+    n = F.greatest(F.lit(1), F.ceil(length / (2 * (cell_m - radius_m)))).cast("int")
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: cells_around(lat1 + dlat * (i / n), lon1 + dlon * (i / n), cell_m))))
+
+
 def _finite(df: DataFrame) -> DataFrame:
     return df.filter(geo.is_finite("lat") & geo.is_finite("lon") & F.col("lat").between(-90, 90))
 
@@ -92,39 +104,64 @@ def segments(ways: DataFrame) -> DataFrame:
 
 def segments_within(queries: DataFrame, segs: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of a query and a segment within the radius, each once: qid, q_lat, q_lon, the segment's columns, distance_m."""
-    wide = max(radius_m, EXTENT_CELL_M)
+    wide, reach = max(1.25 * radius_m, LINE_CELL_M), _height(radius_m)
     q = _finite(queries).select("qid", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cell("lat", "lon", wide).alias("cell"))
-    over = cells_over(F.least("lat1", "lat2"), F.least("lon1", "lon2"), F.greatest("lat1", "lat2"), F.greatest("lon1", "lon2"), wide)
-    s = segs.filter(geo.is_finite("lat1") & geo.is_finite("lon1") & geo.is_finite("lat2") & geo.is_finite("lon2")).withColumn("cell", F.explode(over))
+    s = segs.filter(geo.is_finite("lat1") & geo.is_finite("lon1") & geo.is_finite("lat2") & geo.is_finite("lon2")).withColumn("cell", F.explode(cells_along("lat1", "lon1", "lat2", "lon2", radius_m, wide)))
+    level = F.col("q_lat").between(F.least("lat1", "lat2") - reach, F.greatest("lat1", "lat2") + reach)  # before the trigonometry
     d = geo.segment_distance_m("q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2")
-    return q.join(s, "cell").drop("cell").withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m)
+    return q.join(s, "cell").filter(level).drop("cell").withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m)
 
 
-def nearest(pairs: DataFrame, *keep: str, rank: list | None = None) -> DataFrame:
-    """The best pair of each query, by distance and then input order."""
+def best_pair(pairs: DataFrame, *keep: str, rank: list | None = None) -> DataFrame:
+    """qid, b: the best pair of each query, by distance and then input order."""
     order = F.struct(*(rank or [F.col("distance_m"), F.col("fid")]))
-    best = pairs.groupBy("qid").agg(F.min_by(F.struct("fid", "distance_m", *keep), order).alias("b"))
-    return best.select("qid", "b.*")
+    return pairs.groupBy("qid").agg(F.min_by(F.struct("fid", "distance_m", *keep), order).alias("b"))
+
+
+def nearest(pairs: DataFrame, *keep: str, rank: list | None = None) -> DataFrame:
+    return best_pair(pairs, *keep, rank=rank).select("qid", "b.*")
+
+
+def radii(most_m: float) -> list[float]:
+    """Growing radii up to the last one."""
+    out, r = [], START_M
+    while 2 * r <= most_m:
+        out.append(r)
+        r *= GROWTH
+    return [*out, most_m]
+
+
+def by_rounds(queries: DataFrame, best, most_m: float) -> DataFrame:
+    """best(queries, radius) -> (qid, b) over growing radii: a query that has found something is settled, and only the others go on, so
+    that the pairs looked at grow with the answers and not with the area of the last radius."""
+    out, left, steps = None, queries, radii(most_m)
+    for k, r in enumerate(steps):
+        found = best(left, r)
+        out = found if out is None else out.unionByName(found)
+        if k < len(steps) - 1:  # with b whole on both uses, Spark computes a round once and reuses its exchange
+            left = left.join(found, "qid", "left").filter("b IS NULL").drop("b")
+    return out.select("qid", "b.*")
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """Qid, fid, distance_m of the nearest point within the radius."""
-    return nearest(points_within(queries, points, radius_m))
+    return by_rounds(queries.select("qid", "lat", "lon"), lambda q, r: best_pair(points_within(q, points, r)), radius_m)
 
 
 def nearest_way(queries: DataFrame, ways: DataFrame, radius_m: float) -> DataFrame:
     """Qid, fid, distance_m, segment, snapped_lat, snapped_lon of the nearest line within the radius."""
-    found = nearest(segments_within(queries, segments(ways), radius_m), "segment", "q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2", rank=[F.col("distance_m"), F.col("fid"), F.col("segment")])
+    segs = segments(ways)
+    keep, rank = ("segment", "q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2"), [F.col("distance_m"), F.col("fid"), F.col("segment")]
+    found = by_rounds(queries.select("qid", "lat", "lon"), lambda q, r: best_pair(segments_within(q, segs, r), *keep, rank=rank), radius_m)
     at = geo.snap("q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2")
     return found.withColumn("at", at).select("qid", "fid", "distance_m", "segment", F.col("at.lat").alias("snapped_lat"), F.col("at.lon").alias("snapped_lon"))
 
 
 def nearest_exact(queries: DataFrame, points: DataFrame, start_m: float, most_m: float = 2.1e7) -> DataFrame:
-    """The nearest point however far: rounds of growing radius, each for the queries that found none. Few rounds: the radius grows
-    fourfold and most queries are settled by the first."""
+    """The nearest point however far: rounds of growing radius, each for the queries that found none, until all have found one."""
     out, left, radius = None, queries.select("qid", "lat", "lon"), start_m
     while True:
-        found = nearest_point(left, points, radius)
+        found = nearest(points_within(left, points, radius))
         out = found if out is None else out.unionByName(found)
         radius *= 4
         left = left.join(found.select("qid"), "qid", "left_anti")
@@ -134,17 +171,29 @@ def nearest_exact(queries: DataFrame, points: DataFrame, start_m: float, most_m:
 
 def areas_near(queries: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
     """Pairs of a query and an area (fid, coords) that contains it or whose border is within the radius: qid, fid, distance_m (0 inside),
-    depth_m (to the border), inside."""
-    wide = max(radius_m, EXTENT_CELL_M)
+    depth_m (to the border), inside. Rings are looked at only where the query is in reach of the area's box."""
+    wide, reach = max(radius_m, AREA_CELL_M), _height(radius_m)
     q = _finite(queries).select("qid", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cell("lat", "lon", wide).alias("cell"))
     lats, lons = F.transform("coords", lambda p: p.lat), F.transform("coords", lambda p: p.lon)
-    over = cells_over(F.array_min(lats), F.array_min(lons), F.array_max(lats), F.array_max(lons), wide)
-    a = areas.filter(F.size("coords") >= 2).select("fid", "coords", F.explode(over).alias("cell"))
-    pairs = q.join(a, "cell").withColumn("inside", geo.in_ring("q_lat", "q_lon", "coords")).withColumn("depth_m", geo.ring_distance_m("q_lat", "q_lon", "coords"))
+    a = areas.filter(F.size("coords") >= 2).select("fid", "coords", F.array_min(lats).alias("lat0"), F.array_max(lats).alias("lat1"), F.array_min(lons).alias("lon0"), F.array_max(lons).alias("lon1"))
+    polar = F.least(F.lit(89.9), F.greatest(F.abs("lat0"), F.abs("lat1")) + reach)
+    a = a.withColumn("half", (F.col("lon1") - F.col("lon0")) / 2 + reach / F.cos(F.radians(polar))).withColumn("mid", (F.col("lon0") + F.col("lon1")) / 2)
+    a = a.withColumn("cell", F.explode(cells_over("lat0", "lon0", "lat1", "lon1", wide)))
+    near = F.col("q_lat").between(F.col("lat0") - reach, F.col("lat1") + reach) & (F.abs(geo.wrap_lon_delta(F.col("q_lon") - F.col("mid"))) <= F.col("half"))
+    pairs = q.join(a, "cell").filter(near).select("qid", "fid", "q_lat", "q_lon", "coords")
+    pairs = pairs.withColumn("inside", geo.in_ring("q_lat", "q_lon", "coords")).withColumn("depth_m", geo.ring_distance_m("q_lat", "q_lon", "coords"))
     pairs = pairs.filter(F.col("inside") | (F.col("depth_m") <= radius_m))
     return pairs.select("qid", "fid", F.when(F.col("inside"), 0.0).otherwise(F.col("depth_m")).alias("distance_m"), "depth_m", "inside")
 
 
-def best_area(pairs: DataFrame) -> DataFrame:
-    """A containing area before any other, then the nearest border, then input order."""
-    return nearest(pairs, "inside", rank=[~F.col("inside"), F.col("distance_m"), F.col("fid")])
+_AREA_RANK = [~F.col("inside"), F.col("distance_m"), F.col("fid")]
+
+
+def best_area(queries: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
+    """A containing area before any other, then the nearest border, then input order: qid, fid, distance_m, inside."""
+    return by_rounds(queries.select("qid", "lat", "lon"), lambda q, r: best_pair(areas_near(q, areas, r), "inside", rank=_AREA_RANK), radius_m)
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    """Of rows (qid, fid, distance_m, inside), the best of each query by the same order."""
+    return nearest(found, "inside", rank=_AREA_RANK)

@@ -42,14 +42,14 @@ def nearest_stop(queries: DataFrame, features: DataFrame, within_m: float = SCOP
 
 def park_at(queries: DataFrame, parks: DataFrame, within_m: float = SCOPE_M) -> DataFrame:
     """J5."""
-    return knn.best_area(knn.areas_near(queries, parks, within_m))
+    return knn.best_area(queries, parks, within_m)
 
 
 def water_at(queries: DataFrame, water: DataFrame, within_m: float = SCOPE_M) -> DataFrame:
     """Polygons (geom_type 0) as J5; lines (1) are never inside; references (2) don't count."""
-    areas = knn.areas_near(queries, water.filter("geom_type = 0"), within_m).select("qid", "fid", "distance_m", "inside")
-    lines = knn.segments_within(queries, knn.segments(water.filter("geom_type = 1")), within_m).select("qid", "fid", "distance_m", F.lit(False).alias("inside"))
-    return knn.best_area(areas.unionByName(lines))
+    areas = knn.best_area(queries, water.filter("geom_type = 0"), within_m).select("qid", "fid", "distance_m", "inside")
+    lines = knn.nearest_way(queries, water.filter("geom_type = 1"), within_m).select("qid", "fid", "distance_m", F.lit(False).alias("inside"))
+    return knn.best_of(areas.unionByName(lines))
 
 
 def nearest_address(queries: DataFrame, addresses: DataFrame, threshold_m: float = ADDRESS_M) -> DataFrame:

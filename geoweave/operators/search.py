@@ -17,10 +17,10 @@ def with_buckets(names: DataFrame) -> DataFrame:
 
 
 def search_indexed(index: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
-    """Matches of the query in its buckets (a partition filter), best score first, then the name in byte order."""
+    """Matches of the query in its buckets (a partition filter), best score first, then the name in byte order, then fid."""
     q = text.fold(query.strip())
     hits = index.filter(F.col("bucket").isin(text.probe_buckets(query))).withColumn("score", text.match_score(F.col("folded"), F.lit(q))).filter("score IS NOT NULL")
-    return hits.orderBy(F.desc("score"), "name").limit(limit if q else 0)
+    return hits.orderBy(F.desc("score"), "name", "fid").limit(limit if q else 0)
 
 
 def search_all(names: DataFrame, query: str, limit: int = LIMIT, scan_order: tuple[str, ...] | None = None) -> DataFrame:
@@ -29,14 +29,14 @@ def search_all(names: DataFrame, query: str, limit: int = LIMIT, scan_order: tup
     hits = names.withColumn("score", text.match_score(text.fold_name(F.col("name")), F.lit(q))).filter("score IS NOT NULL")
     if scan_order:
         hits = hits.orderBy(*scan_order).limit(limit)
-    return hits.orderBy(F.desc("score"), "name").limit(limit if q else 0)
+    return hits.orderBy(F.desc("score"), "name", "fid").limit(limit if q else 0)
 
 
 def search_national(index: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     """The best `limit` matches of each state."""
     q = text.fold(query.strip())
     hits = index.filter(F.col("bucket").isin(text.probe_buckets(query))).withColumn("score", text.match_score(F.col("folded"), F.lit(q))).filter("score IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("score"), "name"))
+    rank = F.row_number().over(Window.partitionBy("state").orderBy(F.desc("score"), "name", "fid"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 

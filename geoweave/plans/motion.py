@@ -30,7 +30,16 @@ def m1_speed_bands(spark, sf):
     return _round(motion.smoothed_speeds(_trace(spark, sf)).select("device", "seq", "smoothed_mps", "band"), smoothed_mps=6)
 
 
-@query("m1_motion_states", None)
+#: The same walk over a device's rows as a recursion: the n-th accepted fix of every device in the n-th round.
+_STATES = """nb AS (SELECT user_id, seq, t_ms, s, band, coalesce(t_ms - p > 30000, false) AS gap, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM bd),
+ st(user_id, rn, state, pend, n) AS (SELECT DISTINCT user_id, 0::BIGINT, 'unknown', NULL::VARCHAR, 0 FROM trace
+  UNION ALL SELECT user_id, rn, CASE WHEN band = state OR k >= 2 THEN band ELSE state END, CASE WHEN band <> state AND k < 2 THEN band END, k
+  FROM (SELECT b.user_id, b.rn, b.band, st.state, CASE WHEN NOT b.gap AND pend IS NOT DISTINCT FROM b.band THEN n + 1 ELSE 1 END AS k FROM st JOIN nb b ON b.user_id = st.user_id AND b.rn = st.rn + 1) x)"""
+
+
+@query("m1_motion_states", ctes("trace").replace("WITH", "WITH RECURSIVE", 1) + ", " + _SMOOTH + ", " + _STATES + """,
+ al AS (SELECT user_id, seq, t_ms, count(*) FILTER (accuracy_m <= 50) OVER (PARTITION BY user_id ORDER BY seq) AS k FROM trace)
+SELECT al.user_id AS device, al.seq, al.t_ms, st.state, round(nb.s, 6) AS smoothed_mps FROM al JOIN st ON st.user_id = al.user_id AND st.rn = k LEFT JOIN nb ON nb.user_id = al.user_id AND nb.rn = k""")
 def m1_motion_states(spark, sf):
     return _round(stateful.batch(_trace(spark, sf), "speed"), smoothed_mps=6)
 
@@ -46,7 +55,13 @@ def m2_accel_stats(spark, sf):
     return e.select("event_id", F.round("s.mean_magnitude", 6).alias("mean_magnitude"), F.round("s.variance", 6).alias("variance"))
 
 
-@query("m3_step_cadence", None)
+@query("m3_step_cadence", """WITH w AS (SELECT k, j, sin(j / 50.0::DOUBLE * 6.283185307179586 * (0.5 + k / 2.0)) AS y FROM range(8) a(k), range(100) b(j)),
+ x AS (SELECT k, j, y - avg(y) OVER (PARTITION BY k) AS x FROM w),
+ e AS (SELECT k, sum(x * x) AS e FROM x GROUP BY k),
+ r AS (SELECT a.k, l, sum(a.x * b.x) AS r FROM range(13, 100) c(l), x a, x b WHERE a.k = b.k AND b.j = a.j + l GROUP BY a.k, l),
+ m AS (SELECT r.k, arg_max(l, (round(r / e, 12), -l)) AS l, max(r / e) AS c, any_value(e) AS e FROM r JOIN e ON e.k = r.k GROUP BY r.k)
+SELECT event_id, CASE WHEN e < 1e-4 OR c < 0.4 THEN 0 ELSE floor(100.0 / l + 0.5)::INT END AS steps, round(CASE WHEN e < 1e-4 OR c < 0.4 THEN 0 ELSE 50.0 / l END, 6) AS cadence_hz
+FROM events JOIN m ON m.k = event_id % 8""")
 def m3_step_cadence(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     wave = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: 1 + F.sin(i / 50.0 * 6.283185307179586 * (0.5 + F.col("event_id") % 8 / 2.0)))
@@ -84,7 +99,20 @@ def m5_accel_vote(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", motion.vote_by_accel((i % 9) / 3.0, (i % 31) / 5.0, i % 3).confidence.alias("confidence"))
 
 
-@query("m6_debounced", None)
+_HELD = """v AS (SELECT user_id, seq, t_ms, band, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM bd),
+ h(user_id, rn, votes, cur, pend, n, since, drove) AS (SELECT DISTINCT user_id, 0::BIGINT, []::VARCHAR[], 'unknown', NULL::VARCHAR, 0, 0::BIGINT, NULL::BIGINT FROM v
+  UNION ALL SELECT user_id, rn, votes, CASE WHEN go THEN major ELSE cur END, CASE WHEN major IS NULL THEN pend WHEN major = cur OR go THEN NULL ELSE major END, n2, since2, drove FROM
+   (SELECT *, major IS NOT NULL AND major <> cur AND NOT (cur = 'driving' AND major = 'stationary' AND drove IS NOT NULL AND greatest(0, t_ms - drove) < 150000)
+      AND n2 >= 3 AND greatest(0, t_ms - since2) >= CASE WHEN major = 'driving' THEN 15000 ELSE 60000 END AS go FROM
+    (SELECT *, CASE WHEN major IS NULL OR major = cur THEN n WHEN pend IS NOT DISTINCT FROM major THEN n + 1 ELSE 1 END AS n2,
+        CASE WHEN major IS NULL OR major = cur OR pend IS NOT DISTINCT FROM major THEN since ELSE t_ms END AS since2 FROM
+     (SELECT *, CASE WHEN 2 * len(list_filter(votes, lambda x: x = 'driving')) > len(votes) THEN 'driving' WHEN 2 * len(list_filter(votes, lambda x: x = 'walking')) > len(votes) THEN 'walking'
+         WHEN 2 * len(list_filter(votes, lambda x: x = 'stationary')) > len(votes) THEN 'stationary' END AS major FROM
+      (SELECT v.user_id, v.rn, v.t_ms, list_append(h.votes, v.band)[-5:] AS votes, cur, pend, n, since, CASE WHEN v.band = 'driving' THEN v.t_ms ELSE drove END AS drove
+       FROM h JOIN v ON v.user_id = h.user_id AND v.rn = h.rn + 1) a) b) c) d)"""
+
+
+@query("m6_debounced", ctes("trace").replace("WITH", "WITH RECURSIVE", 1) + ", " + _SMOOTH + ", " + _HELD + "SELECT v.user_id AS device, v.seq, v.t_ms, h.cur AS movement FROM v JOIN h ON h.user_id = v.user_id AND h.rn = v.rn")
 def m6_debounced(spark, sf):
     votes = motion.smoothed_speeds(_trace(spark, sf)).select("device", "seq", "t_ms", F.col("band").alias("vote"))
     return stateful.batch(votes, "hold")
@@ -159,7 +187,12 @@ def l3_annotate(spark, sf):
     return _round(segments.annotate(segments.coalesce(p), p).select("device", "start", "confidence", "points", "t0", "t1", "at_control", "vote"), confidence=6)
 
 
-@query("l5_slice_range", None)
+@query("l5_slice_range", ctes("trace") + ", " + _RUNS + """, mx AS (SELECT user_id, max(seq) AS n FROM trace GROUP BY user_id),
+ pl AS (SELECT pt.user_id, pt.seq, seq BETWEEN n // 3 AND n // 2 AS ed, CASE WHEN seq BETWEEN n // 3 AND n // 2 THEN 'running' ELSE ty END AS ty
+   FROM pt JOIN sg ON sg.user_id = pt.user_id AND pt.seq BETWEEN s AND e JOIN mx ON mx.user_id = pt.user_id),
+ pc AS (SELECT *, CASE WHEN (ty, ed) IS DISTINCT FROM lag((ty, ed)) OVER (PARTITION BY user_id ORDER BY seq) THEN 1 ELSE 0 END AS c FROM pl),
+ pi AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY seq) AS g FROM pc)
+SELECT user_id AS device, min(seq) AS "start", max(seq) AS "end", any_value(ty) AS "type", any_value(ed) AS edited FROM pi GROUP BY user_id, g""")
 def l5_slice_range(spark, sf):
     p = _points(spark, sf)
     edits = p.groupBy("device").agg(F.max("idx").alias("n")).select("device", F.expr("n div 3").alias("lo"), F.expr("n div 2").alias("hi"), F.lit("running").alias("type"))

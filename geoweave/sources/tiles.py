@@ -13,8 +13,12 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Fixed values of the format.
 HEADER, HEADER_SIZE, V1_ENTRY, V2_ENTRY, DEGREE = "<7sxB3x4fQIQIQIQQI", 256, 19, 38, 100_000
@@ -76,6 +80,8 @@ def _columns(record: list) -> list[tuple[str, str]]:
 
 
 def schema_of(layer: str) -> str:
+    if layer not in RECORDS:
+        raise TileError(f"layer {layer!r} has no table of its own; its decoders take a cell's centre")
     return "cell bigint, " + ", ".join(f"{n} {t}" for n, t in _columns(RECORDS[layer]))
 
 
@@ -351,24 +357,30 @@ def index_width(data: bytes, declared: int) -> tuple[int, str]:
     raise TileError("no known index width fits")
 
 
-def read_at(path: str, offset: int, size: int) -> bytes:
-    with open(path, "rb") as f:
+def read_at(source: str | bytes, offset: int, size: int) -> bytes:
+    """A region of a file, by its path or its bytes."""
+    if isinstance(source, bytes):
+        if offset + size > len(source):
+            raise TileError("a region reaches beyond the file")
+        return source[offset : offset + size]
+    with open(source, "rb") as f:
         if offset + size > os.fstat(f.fileno()).st_size:
             raise TileError("a region reaches beyond the file")
         f.seek(offset)
         return f.read(size)
 
 
-def plan_file(path: str) -> Layout:
-    head = read_at(path, 0, HEADER_SIZE)
+def plan_file(source: str | bytes) -> Layout:
+    total = len(source) if isinstance(source, bytes) else os.path.getsize(source)
+    head = read_at(source, 0, HEADER_SIZE)
     magic, version, a, b, c, d, features, _, dict_at, dict_len, index_at, index_len, blocks_at, _, _ = struct.unpack(HEADER, head[: struct.calcsize(HEADER)])
     letter = magic[-1:].decode("latin-1")
     if letter not in LAYERS or not magic.isalpha() or version not in LAYERS[letter][1]:
         raise TileError(f"unsupported file kind {magic!r} version {version}")
     layer = LAYERS[letter][0]
-    count = int.from_bytes(read_at(path, index_at, 4), "little")
-    data = read_at(path, index_at, min(os.path.getsize(path) - index_at, 4 + count * V2_ENTRY))
-    size, source = index_width(data, index_len)
+    count = int.from_bytes(read_at(source, index_at, 4), "little")
+    data = read_at(source, index_at, min(total - index_at, 4 + count * V2_ENTRY))
+    size, found = index_width(data, index_len)
     raw, real = entries_of(data, size), index_at + 4 + count * size
     shift, base = 0, "absolute"
     if raw and raw[0].offset < blocks_at:
@@ -378,7 +390,8 @@ def plan_file(path: str) -> Layout:
     entries = tuple(sorted((Entry(e.cell, e.offset + shift, e.length, e.count) for e in raw), key=lambda e: e.cell))
     if layer == "admin_or_address":
         layer = "address"
-    return Layout(path, layer, version, (a, b, c, d), features, size == V2_ENTRY, entries, read_at(path, dict_at, dict_len) if dict_len else b"", source, base)
+    path = "" if isinstance(source, bytes) else source
+    return Layout(path, layer, version, (a, b, c, d), features, size == V2_ENTRY, entries, read_at(source, dict_at, dict_len) if dict_len else b"", found, base)
 
 
 def unpack_block(raw: bytes, dictionary: bytes) -> bytes:
@@ -418,6 +431,34 @@ def cell_slices(block: bytes) -> Iterator[tuple[int, bytes]]:
         yield cell, block[start + a : start + b]
 
 
+def block_rows(source: str | bytes, plan: Layout, entry: Entry, layer: str | None = None) -> Iterator[tuple[int, dict]]:
+    """(cell, record) of one block."""
+    block = unpack_block(read_at(source, entry.offset, entry.length), plan.dictionary)
+    centre = struct.unpack_from("<ii", block) if plan.merged else (0, 0)
+    for cell, data in cell_slices(block) if plan.merged else ((entry.cell, block),):
+        for row in decode(layer or plan.layer, data, centre):
+            yield cell, row
+
+
+def decode_files(files: DataFrame, layer: str, content: str = "content") -> DataFrame:
+    """The records of whole files in a BINARY column, each file by its own header: with Spark's `binaryFile` reader, files of any store
+    that Spark reaches. A null is no file."""
+    schema = schema_of(layer)
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    names = arrow.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                if data is None:
+                    continue
+                plan = plan_file(bytes(data))
+                rows = [{"cell": cell} | row for e in {e.offset: e for e in plan.entries}.values() for cell, row in block_rows(bytes(data), plan, e, layer)]
+                yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in rows], schema=arrow)
+
+    return files.select(content).mapInArrow(run, schema)
+
+
 class TilePartition(InputPartition):
     def __init__(self, plan: Layout, entries: tuple[Entry, ...]):
         self.plan, self.entries = plan, entries
@@ -454,11 +495,8 @@ class TileReader(DataSourceReader):
             return
         plan = part.plan
         for e in part.entries:
-            block = unpack_block(read_at(plan.path, e.offset, e.length), plan.dictionary)
-            centre = struct.unpack_from("<ii", block) if plan.merged else (0, 0)
-            for cell, data in cell_slices(block) if plan.merged else ((e.cell, block),):
-                for row in decode(self.layer or plan.layer, data, centre):
-                    yield tuple(cell if n == "cell" else row.get(n) for n in self.names)
+            for cell, row in block_rows(plan.path, plan, e, self.layer):
+                yield tuple(cell if n == "cell" else row.get(n) for n in self.names)
 
 
 class TileSource(DataSource):
@@ -574,7 +612,7 @@ def encode(layer: str, rows: list[dict], centre: tuple[int, int] = (0, 0)) -> by
     return bytes(out)
 
 
-def write_file(path: str, letter: str, version: int, cells: dict[int, bytes], merged: int = 0, dictionary: bytes = b"", prefix: bytes = b"CELLTL", base: str = "absolute") -> None:
+def file_bytes(letter: str, version: int, cells: dict[int, bytes], merged: int = 0, dictionary: bytes = b"", prefix: bytes = b"CELLTL", base: str = "absolute") -> bytes:
     """A file of one layer. merged: cells a block (0: one block a cell, narrow index)."""
     pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).compress if dictionary else zstandard.ZstdCompressor().compress
     ids = sorted(cells)
@@ -596,5 +634,24 @@ def write_file(path: str, letter: str, version: int, cells: dict[int, bytes], me
             index += struct.pack("<Q", i) + (bytes(16) + off[:6] + n[:2] + off[6:7] + n[2:3] + struct.pack("<HH", 1, 0) if merged else off[:6] + n[:3] + struct.pack("<H", 1))
         at += len(blob)
     head = struct.pack(HEADER, prefix + letter.encode(), version, -90, -180, 90, 180, 0, len(blocks), HEADER_SIZE, len(dictionary), index_at, len(index), blocks_at, 0, 0)
+    return head.ljust(HEADER_SIZE, b"\0") + dictionary + index + b"".join(b for _, b in blocks)
+
+
+def write_file(path: str, letter: str, version: int, cells: dict[int, bytes], merged: int = 0, **more) -> None:
     with open(path, "wb") as f:
-        f.write(head.ljust(HEADER_SIZE, b"\0") + dictionary + index + b"".join(b for _, b in blocks))
+        f.write(file_bytes(letter, version, cells, merged, **more))
+
+
+def encode_files(features: DataFrame, layer: str, by: str = "file", merged: int = 0) -> DataFrame:
+    """Features with the layer's columns, `cell` and `by` -> one file a value of `by`, as rows (by, content)."""
+    letter, version = next((k, v[0]) for k, (name, v) in LAYERS.items() if name == layer or name == "admin_or_address" and layer == "address")
+
+    def run(table: pa.Table) -> pa.Table:
+        cells: dict[int, list[dict]] = {}
+        for row in table.to_pylist():
+            cells.setdefault(row["cell"], []).append(row)
+        ordered = {c: encode(layer, sorted(rows, key=lambda r: r.get("osm_id") or 0)) for c, rows in cells.items()}
+        return pa.table({by: table.column(by)[:1], "content": pa.array([file_bytes(letter, version, ordered, merged)], pa.binary())})
+
+    kind = dict(features.dtypes)[by]
+    return features.groupBy(by).applyInArrow(run, f"{by} {kind}, content binary")
