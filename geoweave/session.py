@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset and Spark is local."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="geoweave-ckpt-"))
     return named or sc.getCheckpointDir()
 
