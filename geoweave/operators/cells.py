@@ -69,6 +69,21 @@ def candidate_cells(lat: Column, lon: Column, ring: int = 0, cell_m: float = CEL
     return F.array(own) if ring == 0 else F.array_union(F.array(own), neighbor_cells(own, cell_m))
 
 
+def cells_of_bounds(lat0, lon0, lat1, lon1, cell_m: float = CELL_M) -> Column:
+    """C4 of columns: the cells of a box, an array; NULL for a box that is inverted or not finite, or of over BOUNDS_CELLS cells."""
+    lat0, lon0, lat1, lon1 = map(geo._c, (lat0, lon0, lat1, lon1))
+    h = knn._height(cell_m)
+    ok = geo.is_finite(lat0) & geo.is_finite(lon1) & (lat0 >= -90) & (lat0 <= lat1) & (lat1 <= 90) & (lon0 >= -180) & (lon0 <= lon1) & (lon1 <= 180)
+    ok = ok & (((lat1 - lat0) / h + 1) * ((lon1 - lon0) / h + 1) <= 4 * BOUNDS_CELLS)
+
+    def of(row):
+        n = knn._columns(row, cell_m)
+        return F.transform(F.sequence(knn._column(lon0, n), knn._column(F.least(lon1, F.lit(179.9999999)), n)), lambda c: knn._key(row, c, n))
+
+    found = F.flatten(F.transform(F.sequence(knn.grid_row(lat0, cell_m), knn.grid_row(lat1, cell_m)), of))
+    return F.when(ok, geo.let(found, lambda x: F.when(F.size(x) <= BOUNDS_CELLS, x)))
+
+
 def cells_for_bounds(spark, lat0: float, lon0: float, lat1: float, lon1: float, cell_m: float = CELL_M) -> list[int]:
     """C4: the cells of a box. ValueError for a box that is inverted, not finite or of over BOUNDS_CELLS cells."""
     if not (-90 <= lat0 <= lat1 <= 90 and -180 <= lon0 <= lon1 <= 180):

@@ -128,6 +128,14 @@ def all_layers(queries: DataFrame, roads: DataFrame, buildings: DataFrame, busin
     return out.withColumn("n_businesses", F.coalesce("n_businesses", F.lit(0)).cast("long"))
 
 
+def road_context(points: DataFrame, roads: DataFrame, threshold_m: float = ROAD_M) -> DataFrame:
+    """M8: the road evidence of each point for the movement tracker: qid, road (struct of road_class, distance_m and the bearing at the
+    vertex nearest the snap); points without a road near have no row."""
+    found = nearest_road(points, roads, threshold_m).join(roads.select("fid", "road_class", "coords"), "fid")
+    bearing = geo.heading_at("snapped_lat", "snapped_lon", "coords")
+    return found.select("qid", F.struct("road_class", "distance_m", bearing.alias("bearing")).alias("road"))
+
+
 def holds_traffic(intersection_type, distance_m, radius_m: float = 25.0):
     """M7: a signal, stop or give-way within the radius."""
     return intersection_type.isin(*HOLDS_TRAFFIC) & (distance_m <= radius_m)

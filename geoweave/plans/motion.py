@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geoweave.functions import geo
+from geoweave.functions import geo, stats
 from geoweave.operators import ev, motion, nav, route, segments
 from geoweave.streaming import stateful
 
@@ -238,10 +238,11 @@ _PATHS = """st AS (SELECT path_id, row_number() OVER w - 1 AS i, 36 + sum((fid *
  b AS (SELECT *, degrees(atan2(sin(radians(lon2 - lon)) * cos(radians(lat2)), cos(radians(lat)) * sin(radians(lat2)) - sin(radians(lat)) * cos(radians(lat2)) * cos(radians(lon2 - lon)))) AS out FROM nx),
  c AS (SELECT *, lag(out) OVER (PARTITION BY path_id ORDER BY i) AS inn, lat2 IS NOT NULL AS mid FROM b),
  d AS (SELECT *, (out - inn) - 360 * ceil((out - inn - 180) / 360) AS dl FROM c WHERE mid AND inn IS NOT NULL)
-SELECT path_id, i AS idx, round(dl, 4) AS delta_deg FROM d WHERE abs(dl) >= 25""")
+SELECT path_id, i AS idx, round(dl, 4) AS delta_deg, CASE WHEN abs(dl) >= 150 THEN 'u_turn' WHEN abs(dl) >= 100 THEN 'sharp_' || side WHEN abs(dl) >= 60 THEN side ELSE 'slight_' || side END AS maneuver,
+ round(lat, 7) AS lat, round(lon, 7) AS lon FROM (SELECT *, CASE WHEN dl > 0 THEN 'right' ELSE 'left' END AS side FROM d) WHERE abs(dl) >= 25""")
 def n1_turn_angles(spark, sf):
     t = nav.turn_queue(_paths(spark, sf)).filter("maneuver NOT IN ('depart', 'arrive')")
-    return t.select("path_id", "idx", F.round("delta_deg", 4).alias("delta_deg"))
+    return _round(t.select("path_id", "idx", "delta_deg", "maneuver", "lat", "lon"), delta_deg=4, lat=7, lon=7)
 
 
 @query("n2_named_turns", None)
@@ -338,3 +339,56 @@ def r13_routes(spark, sf):
     q = view(spark, sf, "poi").select(F.lit(0).alias("region"), F.col("fid").alias("qid"), (36 + F.col("fid") % 20 * 0.002).alias("lat1"), (F.lit(-87.0) + F.col("fid") % 29 * 0.002).alias("lon1"), (36 + F.col("fid") * 7 % 20 * 0.002).alias("lat2"), (F.lit(-87.0) + F.col("fid") * 11 % 29 * 0.002).alias("lon2"))
     out = route.routes(q, _graph(spark, sf).withColumn("region", F.lit(0)))
     return out.select("qid", "failure", F.round("distance_m", 2).alias("distance_m"), "duration_s", F.size("nodes").alias("n_nodes"))
+
+
+@query("m13_t_two_sided", """WITH x AS (SELECT event_id, (event_id % 97) / 10 AS t, [1, 2, 4][1 + event_id % 3] AS df FROM events)
+SELECT event_id, round(CASE df WHEN 1 THEN 1 - 2 / pi() * atan(t) WHEN 2 THEN 1 - t / sqrt(t * t + 2) ELSE 1 - 0.75 * t / sqrt(1 + t * t / 4) * (1 - t * t / (1 + t * t / 4) / 12) END, 9) AS p_value FROM x""")
+def m13_t_two_sided(spark, sf):
+    p = F.pandas_udf(stats.t_two_sided, "double")
+    t, df = F.col("event_id") % 97 / 10.0, F.element_at(F.lit([1.0, 2.0, 4.0]), (F.col("event_id") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.round(p(t, df), 9).alias("p_value"))
+
+
+@query("l4_auto_merge", ctes("trace") + ", " + _RUNS.split(",\n kp AS")[0] + """,
+ sm AS (SELECT *, CASE WHEN ty = 'driving' THEN 'driving' ELSE 'on foot' END AS kind, s % 4 = 0 AS ed FROM rn),
+ mc AS (SELECT *, CASE WHEN (kind, ed) IS DISTINCT FROM lag((kind, ed)) OVER (PARTITION BY user_id ORDER BY s) THEN 1 ELSE 0 END AS c FROM sm),
+ mi AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY s) AS k FROM mc)
+SELECT user_id AS device, min(s) AS "start", max(e) AS "end", any_value(kind) AS "type", any_value(ed) AS edited FROM mi GROUP BY user_id, k""")
+def l4_auto_merge(spark, sf):
+    r = segments.runs(_points(spark, sf))
+    r = r.withColumn("type", F.when(F.col("type") == "driving", "driving").otherwise("on foot")).withColumn("edited", F.col("start") % 4 == 0)
+    return segments.auto_merge(r).select("device", "start", "end", "type", "edited")
+
+
+@query("r3_trail_roads", """SELECT o_orderkey AS fid, ['path', 'footway', 'steps'][1 + o_orderkey % 3] AS road_class, 2 AS n FROM orders WHERE o_orderkey % 4 = 0""")
+def r3_trail_roads(spark, sf):
+    t = _lines(view(spark, sf, "seg")).withColumn("geom_type", F.col("cls").cast("int")).withColumn("trail_type", F.element_at(F.lit(["path", "footway", "steps"]), (F.col("fid") % 3 + 1).cast("int")))
+    return route.trail_roads(t).select("fid", "road_class", F.size("coords").alias("n"))
+
+
+def _frayed(spark, sf):
+    """The lattice with ends that miss the crossings by a unit or two."""
+    by = lambda k: ((F.col("fid") * k) % 3 - 1) * 0.00002
+    near = F.transform("coords", lambda p, i: F.struct((p.lon + by(7)).alias("lon"), (p.lat + by(5)).alias("lat")))
+    return _roads(spark, sf).withColumn("coords", near)
+
+
+_FRAYED = """nd AS (SELECT DISTINCT cy, cx, jy, jx FROM (SELECT unnest([y, y + e]) AS cy, unnest([x, x + 1 - e]) AS cx, (fid * 5) % 3 - 1 AS jy, (fid * 7) % 3 - 1 AS jx FROM rd))"""
+
+
+@query("r5_merged_nodes", ctes("seg") + ", " + _HOPS + ", " + _FRAYED + """
+SELECT cy * 100 + cx AS crossing, count(*) AS nodes, arg_min(jx, jx * 10 + jy) AS root_dx, arg_min(jy, jx * 10 + jy) AS root_dy FROM nd GROUP BY cy, cx HAVING count(*) > 1""")
+def r5_merged_nodes(spark, sf):
+    m = route.merged_nodes(route.hops(_frayed(spark, sf))).groupBy("root").agg(F.count_distinct("node").alias("nodes"))
+    x, y = route._units(F.col("root"))
+    off = lambda v, first: F.pmod(v - first + 2, F.lit(100)) - 2  # noqa: E731  crossings are 100 units apart
+    return m.select(_crossing(F.col("root")).alias("crossing"), "nodes", off(x, -87 * route.NODE_UNITS).alias("root_dx"), off(y, 36 * route.NODE_UNITS).alias("root_dy"))
+
+
+@query("r9_edge_geometry", ctes("seg") + ", " + _HOPS + """, bo AS (SELECT f, t FROM hp UNION SELECT t, f FROM hp)
+SELECT f, t, 2 AS n, f AS first, t AS last FROM bo""")
+def r9_edge_geometry(spark, sf):
+    roads = _roads(spark, sf)
+    g = route.edge_geometry(roads, route.merged_nodes(route.hops(roads)))
+    at = lambda p: _crossing(route.node_key(p.lat, p.lon))
+    return g.select(_crossing(F.col("f")).alias("f"), _crossing(F.col("t")).alias("t"), F.size("coords").alias("n"), at(F.element_at("coords", 1)).alias("first"), at(F.element_at("coords", -1)).alias("last"))

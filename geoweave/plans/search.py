@@ -101,10 +101,10 @@ def t12_category_label(spark, sf):
  u AS (SELECT qid, 'road' AS kind, 0 AS o, fid, d, 1.0 AS mw, 0.3 AS sw FROM s WHERE d <= 100
        UNION ALL SELECT qid, 'building', 1, fid, d, 0.3, 1.0 FROM p WHERE d <= 100 UNION ALL SELECT qid, 'business', 2, fid, d, 0.3, 0.8 FROM b),
  c AS (SELECT u.*, exp(-0.5 * pow(d / greatest(accuracy_m, 3.0), 2)) * CASE WHEN speed_mps > 3 THEN mw ELSE sw END AS score FROM u JOIN fix ON fix.qid = u.qid)
-SELECT qid, kind, fid, round(d, 3) AS distance_m, round(score, 6) AS score FROM c""")
+SELECT qid, kind, fid, round(d, 3) AS distance_m, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, d, o, fid)::INT AS rank FROM c""")
 def p1_score_candidates(spark, sf):
     out = scoring.score_candidates(view(spark, sf, "fix"), _lines(view(spark, sf, "seg")), _ring(view(spark, sf, "box")), view(spark, sf, "poi"), 100.0)
-    return _round(out.drop("rank"), distance_m=3, score=6)
+    return _round(out, distance_m=3, score=6)
 
 
 @query("p1_best_candidate", ctes("fix", "seg", "box", "poi") + ", " + _SEGS.format(m=0.002) + ", " + _AREAS + f""",

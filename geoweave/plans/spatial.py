@@ -323,3 +323,72 @@ def d17_merge_layers(spark, sf):
     p = view(spark, sf, "poi").withColumn("cell", cells.cell_of(F.col("lat"), F.col("lon")))
     both = layers.merge_states({"AA": p.filter("nationkey < 12"), "BB": p.filter("nationkey >= 12")})
     return both.groupBy("state").agg(F.count("*").alias("n"), F.min("fid").alias("first_fid"))
+
+
+@query("g3_project_m", ctes("seg") + """SELECT fid, round(radians(lon2 - lon1) * cos(radians(lat1)) * 6371000.0::DOUBLE, 4) AS x, round(radians(lat2 - lat1) * 6371000.0::DOUBLE, 4) AS y FROM seg""")
+def g3_project_m(spark, sf):
+    return view(spark, sf, "seg").select("fid", F.round(geo.plane_x("lat1", "lon1", "lon2"), 4).alias("x"), F.round(geo.plane_y("lat1", "lat2"), 4).alias("y"))
+
+
+@query("g8_ring_distance", ctes("box", "poi") + f"""SELECT b.fid, round({_border('p.lat', 'p.lon')}, 2) AS distance_m FROM box b JOIN poi p ON p.fid = b.fid * 3""")
+def g8_ring_distance(spark, sf):
+    b, p = _ring(view(spark, sf, "box")), view(spark, sf, "poi").selectExpr("fid AS pid", "lat", "lon")
+    return b.join(p, F.col("pid") == b["fid"] * 3).select(b["fid"], F.round(geo.ring_distance_m("lat", "lon", "coords"), 2).alias("distance_m"))
+
+
+_HEADING = "degrees(atan2(sin(radians({o2} - {o1})) * cos(radians({a2})), cos(radians({a1})) * sin(radians({a2})) - sin(radians({a1})) * cos(radians({a2})) * cos(radians({o2} - {o1}))))"
+_OUT, _BACK = _HEADING.format(a1="lat1", o1="lon1", a2="lat2", o2="lon2"), _HEADING.format(a1="lat2", o1="lon2", a2="lat1", o2="lon1 + 0.0005")
+
+
+@query("g15_heading_at", ctes("seg", "poi") + f""", x AS (SELECT s.fid, {hav('p.lat', 'p.lon', 'lat1', 'lon1')} AS d1, {hav('p.lat', 'p.lon', 'lat2', 'lon2')} AS d2, {hav('p.lat', 'p.lon', 'lat1', 'lon1 + 0.0005')} AS d3,
+ {_OUT} AS h1, {_BACK} AS h2 FROM seg s JOIN poi p ON p.fid = s.path_id)
+SELECT fid, round(CASE WHEN z < 0 THEN z + 360 ELSE z END, 5) AS heading FROM (SELECT fid, CASE WHEN d1 <= d2 AND d1 <= d3 THEN h1 ELSE h2 END AS z FROM x)""")
+def g15_heading_at(spark, sf):
+    p = lambda lat, lon: F.struct(lon.alias("lon"), F.col(lat).alias("lat"))
+    s = view(spark, sf, "seg").withColumn("coords", F.array(p("lat1", F.col("lon1")), p("lat2", F.col("lon2")), p("lat1", F.col("lon1") + 0.0005)))
+    both = s.join(view(spark, sf, "poi").selectExpr("fid AS path_id", "lat", "lon"), "path_id")
+    return both.select("fid", F.round(geo.heading_at("lat", "lon", "coords"), 5).alias("heading"))
+
+
+@query("m8_road_context", ctes("fix", "seg") + ", " + _SEGS.format(m=0.001) + f""", n AS (SELECT qid, arg_min(fid, (d, fid)) AS fid, min(d) AS d FROM s WHERE d <= 50 GROUP BY qid)
+SELECT qid, 'class' || cls AS road_class, round(d, 3) AS distance_m, round(CASE WHEN z < 0 THEN z + 360 ELSE z END, 5) AS bearing FROM (SELECT n.*, seg.cls, {_OUT} AS z FROM n JOIN seg ON seg.fid = n.fid)""")
+def m8_road_context(spark, sf):
+    roads = _lines(view(spark, sf, "seg")).withColumn("road_class", F.concat(F.lit("class"), F.col("cls").cast("string")))
+    out = lookup.road_context(view(spark, sf, "fix"), roads).select("qid", "road.*")
+    return _round(out, distance_m=3, bearing=5)
+
+
+@query("m7_holds_traffic", """SELECT event_id, (event_id % 6) IN (1, 2, 3) AND value <= 25 AS holds FROM events""")
+def m7_holds_traffic(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", lookup.holds_traffic(F.col("event_id") % 6, F.col("value")).alias("holds"))
+
+
+_CENTRES = f"SELECT r, x, n, (r + 0.5::DOUBLE) * {_H}::DOUBLE - 90 AS lat, (x + 0.5::DOUBLE) * 360 / n - 180 AS lon FROM c GROUP BY ALL"
+
+
+@query("c9_viewport", ctes("fix") + ", " + _GRID + f", u AS ({_CENTRES})" + f"""
+SELECT r * 4294967296 + x AS cell, round({hav('36.1', '-86.85', 'lat', 'lon')}, 2) AS distance_m FROM u ORDER BY {hav('36.1', '-86.85', 'lat', 'lon')}, cell LIMIT 300""")
+def c9_viewport(spark, sf):
+    seen = view(spark, sf, "fix").select(cells.cell_of(F.col("lat"), F.col("lon")).alias("cell")).distinct()
+    c = cells.cell_center(F.col("cell"))
+    return _round(cells.viewport(seen.withColumn("distance_m", geo.haversine_m(36.1, -86.85, c.lat, c.lon))), distance_m=2)
+
+
+@query("c4_cells_for_bounds", f"""WITH b AS (SELECT n_nationkey AS nation, 36.0 + n_nationkey / 100 AS lat0, -87.0 + n_nationkey / 50 AS lon0, 36.05 + n_nationkey / 100 AS lat1, -86.93 + n_nationkey / 50 AS lon1 FROM nation),
+ g AS (SELECT *, unnest(range(floor((lat0 + 90) / {_H})::BIGINT, floor((lat1 + 90) / {_H})::BIGINT + 1)) AS r FROM b), k AS (SELECT *, {_N.format(r="r", h=_H)} AS n FROM g)
+SELECT nation, r * 4294967296 + unnest(range(floor((lon0 + 180) / 360 * n)::BIGINT, floor((lon1 + 180) / 360 * n)::BIGINT + 1)) AS cell FROM k""")
+def c4_cells_for_bounds(spark, sf):
+    b = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("nation"), *(F.lit(o) + F.col("n_nationkey") / d for o, d in ((36.0, 100), (-87.0, 50), (36.05, 100), (-86.93, 50))))
+    b = b.toDF("nation", "lat0", "lon0", "lat1", "lon1")
+    return b.select("nation", F.explode(cells.cells_of_bounds("lat0", "lon0", "lat1", "lon1")).alias("cell"))
+
+
+@query("j14_addresses_in_cells", ctes("fix", "address") + f""", g AS (SELECT qid, floor((lat + 90) / {_H})::BIGINT AS r, lon FROM fix WHERE speed_mps > 48), k AS (SELECT *, {_N.format(r="r", h=_H)} AS n FROM g),
+ o AS (SELECT r, floor((lon + 180) / 360 * n)::BIGINT AS x, n FROM k), d AS (SELECT r + dr AS r2, (x + 0.5) * 360 / n - 180 AS mid, {_N.format(r="(r + dr)", h=_H)} AS n2 FROM o, (VALUES (-1), (0), (1)) v(dr)),
+ e AS (SELECT DISTINCT r2, floor((mid + 180) / 360 * n2)::BIGINT + dc AS x2 FROM d, (VALUES (-1), (0), (1)) w(dc)),
+ a AS (SELECT *, floor((lat + 90) / {_H})::BIGINT AS r FROM address WHERE lat IS NOT NULL), b AS (SELECT *, {_N.format(r="r", h=_H)} AS n FROM a)
+SELECT fid, housenumber, street FROM b WHERE (r, floor((lon + 180) / 360 * n)::BIGINT) IN (SELECT (r2, x2) FROM e)""")
+def j14_addresses_in_cells(spark, sf):
+    a = view(spark, sf, "address").filter("lat IS NOT NULL").withColumn("cell", cells.cell_of(F.col("lat"), F.col("lon")))
+    wanted = view(spark, sf, "fix").filter("speed_mps > 48").select(F.explode(cells.candidate_cells(F.col("lat"), F.col("lon"), 1)).alias("cell"))
+    return lookup.features_in(a, wanted).select("fid", "housenumber", "street")
