@@ -5,10 +5,10 @@ and the majority of their bits. Links: Hamming distance of at most MAX_BITS.
 
 The 64 bits are split into BLOCKS blocks. Two fingerprints that differ in at most d bits agree on BLOCKS - d blocks at least, so each
 fingerprint is dealt once for every choice of BLOCKS - d blocks, keyed by their bits (38 bits of key: at 10^11 fingerprints a key
-still holds a few by chance). Keys with one fingerprint go. Inside the others no pairs are listed: each fingerprint is sent to the
-points within d/2 bits of it over the bits outside the key. Two fingerprints meet at a point exactly if they are within d bits, so a
-group of any size costs a fixed number of rows a member, and a hot key is spread over its points. Each link is verified by XOR.
-Equal fingerprints collapse before anything is dealt.
+still holds a few by chance). Keys with one fingerprint go. Inside the others no pairs are listed: each fingerprint is sent once to itself
+and to the points one flip away, over the bits that are free in any block choice it shares. Two fingerprints meet at a point exactly if
+they are within two bits, so a member of a group of any size costs 65 rows at most, and a hot key is spread over its points. Each link is
+verified by XOR. Equal fingerprints collapse before anything is dealt.
 
 Edge cases: null or blank text has fingerprint zero and links like any other; repeated rows (same doc_id) each give a row; a null
 doc_id gets a fingerprint and its component's id, but never names a component unless all its members are null; an empty table gives no rows.
@@ -88,13 +88,14 @@ def links(nodes: DataFrame, blocks: int = BLOCKS, bits: int = MAX_BITS) -> DataF
         raise ValueError("meeting points are one flip away: bits must be 2")
     masks = _masks(blocks, bits)
     dealt = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)))).alias("b")).select("fp", "b.c", "b.k")
-    shared = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).filter("n > 1").select("c", "k")
-    held = dealt.join(shared, ["c", "k"])
-    flips = F.lit([[0] + [_signed(1 << b) for b in range(64) if not m >> b & 1] for m in masks])
-    points = held.select("fp", "c", F.explode(F.element_at(flips, F.col("c") + 1)).alias("flip")).select("fp", "c", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    # a point fixes the key's bits too, so (choice, point) is a finer key than (choice, key)
-    least = points.groupBy("c", "z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("c", "z", "v")
-    met = points.join(least, ["c", "z"]).filter("fp <> v")
+    # stored, so that both sides of the join are plain exchanges, of which Spark splits skewed partitions
+    shared = stored(dealt.groupBy("c", "k").agg(F.count("*").alias("n")).filter("n > 1").select("c", "k"), "simhash-shared")
+    free = F.element_at(F.lit([_signed(~m & (1 << 64) - 1) for m in masks]), F.col("c") + 1)
+    held = stored(dealt.join(shared, ["c", "k"]).groupBy("fp").agg(F.bit_or(free).alias("free")), "simhash-held")
+    flips = F.filter(F.lit([_signed(1 << b) for b in range(64)]), lambda f: F.col("free").bitwiseAND(f) != 0)
+    points = held.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
+    least = stored(points.groupBy("z").agg(F.min("fp").alias("v"), F.count("*").alias("n")).filter("n > 1").select("z", "v"), "simhash-points")
+    met = points.join(least, "z").filter("fp <> v")
     return met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= bits).select(F.col("fp").alias("u"), "v").distinct()
 
 
@@ -103,13 +104,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, blocks: int = BLOCKS,
     that, and kept: true for one row of each component, one with the component's id."""
     fps = stored(fingerprints(docs, size, *([key] if key else [])), "simhash")
     member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key) if key else F.col("doc_id")
-    nodes = fps.groupBy("fp").agg(F.min(member).alias("least_id"))
+    nodes = fps.groupBy("fp").agg(F.min(member).alias("least_id"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), blocks))
-    linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least_id")
-    named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = linked.join(named, "root").select("fp", "component_id")
-    owner = nodes.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = fps.join(owner, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
+    linked = stored(roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "least_id"), "simhash-linked")
+    named = stored(linked.groupBy("root").agg(F.min("least_id").alias("component_id")), "simhash-named")
+    of = linked.join(named, "root").select(F.col("fp").alias("of"), "component_id")
+    # only fingerprints with company: the others' rows name themselves
+    owner = nodes.join(of, nodes["fp"] == of["of"], "left").filter("n > 1 OR of IS NOT NULL")
+    owner = stored(owner.select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-owner")
+    out = fps.join(owner, "fp", "left").withColumn("component_id", F.coalesce("component_id", member)).withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0")))
     if not key:
         return out.select("doc_id", "fingerprint", "component_id")
     return out.select("doc_id", "fingerprint", "component_id.doc_id", (F.col(key) == F.col(f"component_id.{key}")).alias("kept"), key).toDF("doc_id", "fingerprint", "component_id", "kept", key)
