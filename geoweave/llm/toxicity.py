@@ -19,6 +19,7 @@ null doc_id is not held out); labels that are null are not used; of texts that s
 from __future__ import annotations
 
 import string
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,37 @@ def _sum_rows(values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(at, values[:, j], size) for j in range(values.shape[1])], axis=1)
 
 
+def _bags(docs: list[str], buckets: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """(of each document its distinct words and their shares; number of buckets of each word; the buckets of all words, word after word).
+    CHUNK characters are read at a time."""
+    index: dict[int, int] = {}
+    bags, number, flat = [], array("q"), array("i")
+    held = np.cumsum([len(d) for d in docs]) // CHUNK
+    for i, j in zip(*(lambda cut: (cut[:-1], cut[1:]))(np.concatenate(([0], np.flatnonzero(np.diff(held)) + 1, [len(docs)])).tolist())):
+        points, begin, end, doc = words_of(docs[i:j])
+        ids = np.zeros(len(begin), np.int64)
+        for a, b in chunks(begin, end):
+            whole, _, grams = subwords(points, begin[a:b], end[a:b])
+            keys, at, inverse = np.unique(np.where(end[a:b] > begin[a:b], whole, np.uint64(0)), return_index=True, return_inverse=True)
+            fresh = [n for n, k in enumerate(keys.tolist()) if k not in index]
+            for n in fresh:
+                index[int(keys[n])] = len(index)
+            ids[a:b] = np.array([index[k] for k in keys.tolist()], np.int64)[inverse]
+            wanted = np.full(b - a, -1)
+            wanted[at[fresh]] = np.arange(len(fresh))
+            wanted[end[a:b] <= begin[a:b]] = -1
+            owner = np.repeat(wanted, end[a:b] - begin[a:b] + 2)
+            owners = np.concatenate([wanted[wanted >= 0], *(owner[valid & (owner >= 0)] for _, valid in grams)])
+            hashes = np.concatenate([whole[wanted >= 0], *(h[valid & (owner >= 0)] for h, valid in grams)])
+            flat.frombytes(_bucket(hashes, buckets)[np.argsort(owners, kind="stable")].astype(np.int32).tobytes())
+            number.frombytes(np.bincount(owners, minlength=len(fresh)).astype(np.int64).tobytes())
+        cuts = np.searchsorted(doc, np.arange(j - i + 1))
+        for a, b in zip(cuts, cuts[1:]):
+            words, times = np.unique(ids[a:b], return_counts=True)
+            bags.append((words.astype(np.int32), (times / max(1, b - a)).astype(np.float32)))
+    return bags, np.array(number, np.int64), np.array(flat, np.int32)
+
+
 def fit(docs: list[str], labels: list[int], shares: tuple[float, float], dim: int = DIM, steps: int = STEPS, rate: float = RATE, buckets: int = BUCKETS, min_df: int = MIN_DF, scale: float = SCALE, decay: float = DECAY) -> Model:
     """docs and labels (0, 1) -> a Model. shares: of the labels among all training rows."""
     y = np.asarray(labels, np.int64)
@@ -144,27 +176,7 @@ def fit(docs: list[str], labels: list[int], shares: tuple[float, float], dim: in
     if not counts.all():
         p = min(max(shares[1], 1e-6), 1 - 1e-6)
         return Model(np.zeros(buckets), float(np.log(p / (1 - p))))
-    points, begin, end, doc_of = words_of(docs)
-    keys, pieces = np.zeros(len(begin), np.uint64), []
-    for i, j in chunks(begin, end):
-        keys[i:j] = np.where(end[i:j] > begin[i:j], subwords(points, begin[i:j], end[i:j])[0], np.uint64(0))
-    names, at, word_of = np.unique(keys, return_index=True, return_inverse=True)
-    begin, end = begin[at], end[at]
-    number = np.zeros(len(names), np.int64)
-    for i, j in chunks(begin, end):
-        whole, start, grams = subwords(points, begin[i:j], end[i:j])
-        real = end[i:j] > begin[i:j]
-        owner = np.repeat(np.arange(i, j), end[i:j] - begin[i:j] + 2)
-        hashes = np.concatenate([whole[real], *(h[valid & real[owner - i]] for h, valid in grams)])
-        owners = np.concatenate([np.arange(i, j)[real], *(owner[valid & real[owner - i]] for _, valid in grams)])
-        pieces.append(_bucket(hashes, buckets)[np.argsort(owners, kind="stable")].astype(np.int32))
-        number += np.bincount(owners, minlength=len(names))
-    flat = np.concatenate(pieces) if pieces else np.empty(0, np.int32)
-    total = np.bincount(doc_of, minlength=len(docs))
-    pairs, times = np.unique(doc_of * len(names) + word_of, return_counts=True)
-    cuts = np.searchsorted(pairs, np.arange(len(docs) + 1) * max(1, len(names)))
-    bags = [(pairs[a:b] - d * len(names), times[a:b] / max(1, total[d])) for d, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-    del points, keys, word_of, pieces
+    bags, number, flat = _bags(docs, buckets)
     begin = np.cumsum(number) - number
     spread = np.zeros(buckets, np.int64)  # documents that a bucket occurs in
     for words, _ in bags:
