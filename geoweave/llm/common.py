@@ -16,13 +16,27 @@ SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_made: list[str] = []  # the folders that stored() has written and drop_stored() has not deleted
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write as Parquet in the shared checkpoint folder and reread: smaller than a checkpoint, and columnar."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete what stored() has written: all but the first `since` folders and the last `keep`. What was read from them must be done with."""
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _made[since : len(_made) - keep]
+    for path in gone:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+        _made.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,13 +93,29 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs and a stored key of each row, `_row`: doc_ids can be null or repeat."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed-rows")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a stored key of each row (doc_ids can be null or repeat), and the name of that column."""
+    key = fresh(docs, "_row")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-rows"), key
+
+
+def kept_rows(rows: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
+    """The rows that decisions (key, kept) keep, without the key. The hash table is built of keys; texts are not sorted."""
+    return rows.join(decisions.filter("kept").select(key).hint("shuffle_hash"), key, "left_semi").drop(key)
 
 
-def decided_rows(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The columns of rows (keyed) without the key, each row as often as decisions (_row, times) say for it."""
-    wanted = decisions.filter("times > 0").select("_row", F.col("times").cast("int").alias("_times"))
-    held = rows.join(wanted, "_row")
-    return held.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select(*(c for c in rows.columns if c != "_row"))
+def repeated_rows(rows: DataFrame, key: str, decisions: DataFrame) -> DataFrame:
+    """Each row as often as decisions (key, copies) say, without the key."""
+    times = fresh(rows, "_times")
+    wanted = decisions.filter("copies > 0").select(key, F.col("copies").cast("int").alias(times))
+    held = rows.join(wanted.hint("shuffle_hash"), key)
+    nth = fresh(held, "_nth")
+    return held.withColumn(nth, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*(rows[c] for c in rows.columns if c != key))

@@ -7,8 +7,8 @@ text stays, then the smallest doc_id.
 2. Each sender (a partition of that table) sorts its distinct fingerprints, and for each owner (a range of the fingerprint space)
    sends one Golomb-Rice-coded blob of the gaps, with the distinct fingerprints it holds more than once marked.
 3. An owner merges its blobs and returns to each sender a bitmap over that sender's sorted list: 1 where the fingerprint is held twice
-   or more anywhere. Rows whose bit is 0 are unique and done; no text of theirs ever moves.
-4. Suspects are byte-verified: the texts are scanned again, a Bloom filter of fixed size (built in segments from the suspects)
+   or more anywhere; the bitmap and the blob are shuffled back to the sender. Rows whose bit is 0 are unique and done; no text of theirs ever moves.
+4. Suspects are byte-verified: the texts are scanned again, a Bloom filter of checked size (built in segments from the suspects)
    drops nearly all rows that are no suspects, and the rest are grouped by the normalised bytes themselves. The grouping
    aggregates before the shuffle, so a group with a third of all rows sends one row a partition.
 Owners are bounded: OWNER_ROWS fingerprints each on average (they are uniform, and each sender sends each fingerprint once).
@@ -28,37 +28,34 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CHARS, stored, table, texts
 
-OWNER_ROWS, BLOOM_BITS, BLOOM_HASHES, SEGMENTS, SPREAD = 1_000_000, 1 << 25, 4, 256, 8
+OWNER_ROWS, BLOOM_HASHES, SEGMENTS = 1_000_000, 4, 256
 
 
 def rice_encode(gaps: np.ndarray, k: int) -> bytes:
-    """Golomb code with parameter 2**k of non-negative integers: unary quotient, then k low bits."""
+    """Golomb code with parameter 2**k of non-negative integers: first the k low bits of each, then the unary quotients."""
     gaps = gaps.astype(np.uint64)
-    q = (gaps >> np.uint64(k)).astype(np.int64)
-    at = np.cumsum(q + 1 + k) - (q + 1 + k)
-    bits = np.zeros(int((q + 1 + k).sum()), np.uint8)
-    bits[at + q] = 1  # q zeros, then a one
-    for j in range(k):
-        bits[at + q + 1 + j] = (gaps >> np.uint64(k - 1 - j)) & np.uint64(1)
-    return np.packbits(bits).tobytes()
-
-
-def rice_decode(blob: bytes, n: int, k: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(blob, np.uint8))
-    ones = np.flatnonzero(bits)
-    nth = np.cumsum(bits, dtype=np.int64)  # ones up to and with a bit
-    starts, pos, ones_list = np.empty(n, np.int64), 0, ones.tolist()
-    stop = np.empty(n, np.int64)
-    before, total = nth.tolist(), len(bits)
-    for i in range(n):  # the next stop bit is the first one at or after pos
-        s = ones_list[before[pos - 1] if pos else 0]
-        starts[i], stop[i] = pos, s
-        pos = s + 1 + k
-        if pos > total:
-            raise ValueError("truncated Golomb blob")
-    gaps = (stop - starts).astype(np.uint64) << np.uint64(k)
+    low = np.zeros((len(gaps), k), np.uint8)
     for j in range(k):
-        gaps |= bits[stop + 1 + j].astype(np.uint64) << np.uint64(k - 1 - j)
+        low[:, j] = (gaps >> np.uint64(k - 1 - j)) & np.uint64(1)
+    q = (gaps >> np.uint64(k)).astype(np.int64)
+    ends = np.cumsum(q + 1)
+    unary = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    unary[ends - 1] = 1  # q zeros, then a one
+    return np.packbits(low).tobytes() + np.packbits(unary).tobytes()
+
+
+def rice_decode(blob: bytes, n: int, k: int, step: int = 1 << 16) -> np.ndarray:
+    raw = np.frombuffer(blob, np.uint8)
+    cut = -(-n * k // 8)
+    stops = np.flatnonzero(np.unpackbits(raw[cut:]))
+    if len(raw) < cut or len(stops) < n:
+        raise ValueError("truncated Golomb blob")
+    gaps = np.diff(stops[:n], prepend=-1).astype(np.uint64) - np.uint64(1) << np.uint64(k)
+    for i in range(0, n if k else 0, step):  # step is a multiple of 8, so each slice begins at a byte
+        m = min(step, n - i)
+        bits = np.unpackbits(raw[i * k // 8 : -(-(i + m) * k // 8)], count=m * k).reshape(m, k)
+        for j in range(k):
+            gaps[i : i + m] |= bits[:, j].astype(np.uint64) << np.uint64(k - 1 - j)
     return gaps
 
 
@@ -137,7 +134,7 @@ def suspects(marks: DataFrame, owners: int) -> DataFrame:
                 if len(dup):
                     yield pa.RecordBatch.from_pydict({"fp": dup.view(np.int64)}, schema=pa.schema([("fp", pa.int64())]))
 
-    return returned.mapInArrow(read, "fp long").distinct()
+    return returned.repartition("sender").mapInArrow(read, "fp long").distinct()
 
 
 def _slots(fp: np.ndarray, bits: int) -> np.ndarray:
@@ -146,15 +143,30 @@ def _slots(fp: np.ndarray, bits: int) -> np.ndarray:
     return (a[:, None] + b[:, None] * np.arange(BLOOM_HASHES, dtype=np.uint64)) & np.uint64(bits - 1)
 
 
-def bloom(fps: DataFrame, bits: int = BLOOM_BITS) -> bytes:
-    """A Bloom filter of exactly `bits` bits whatever the input; its segments are built apart and sent to the driver."""
-    seg = bits // SEGMENTS
+def bloom_bits(n: int, most: int = 1 << 28) -> int:
+    """About 12 bits a key, in 2**20 .. 2**28 (32 MB); beyond that, more rows pass and what follows drops them."""
+    return min(most, 1 << max(20, (12 * n).bit_length()))
+
+
+def _set(packed: np.ndarray, fp: np.ndarray) -> None:
+    slots = _slots(fp, len(packed) * 8).ravel()
+    np.bitwise_or.at(packed, slots >> np.uint64(3), (np.uint8(1) << (slots & np.uint64(7)).astype(np.uint8)))
+
+
+def may_hold(packed: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    slots = _slots(fp, len(packed) * 8)
+    return (packed[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8) & np.uint8(1)).all(1)
+
+
+def bloom(fps: DataFrame, bits: int) -> bytes:
+    """A Bloom filter of `bits` bits; its segments are built apart and sent to the driver."""
+    seg = bits // 8 // SEGMENTS
 
     def bits_of(batches):
-        full = np.zeros(bits, bool)
+        full = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            full[_slots(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits).ravel()] = True
-        out = [(i, np.packbits(full[i * seg : (i + 1) * seg]).tobytes()) for i in range(SEGMENTS) if full[i * seg : (i + 1) * seg].any()]
+            _set(full, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        out = [(i, full[i * seg : (i + 1) * seg].tobytes()) for i in range(SEGMENTS) if full[i * seg : (i + 1) * seg].any()]
         if out:
             yield pa.RecordBatch.from_pydict({"i": [i for i, _ in out], "b": [b for _, b in out]}, schema=pa.schema([("i", pa.int32()), ("b", pa.binary())]))
 
@@ -164,7 +176,7 @@ def bloom(fps: DataFrame, bits: int = BLOOM_BITS) -> bytes:
 
     out = bytearray(bits // 8)
     for r in fps.mapInArrow(bits_of, "i int, b binary").groupBy("i").applyInArrow(merge, "i int, b binary").collect():
-        out[r.i * seg // 8 : (r.i + 1) * seg // 8] = r.b
+        out[r.i * seg : (r.i + 1) * seg] = r.b
     return bytes(out)
 
 
@@ -177,12 +189,12 @@ def exact_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     marks = stored(rows.select(F.spark_partition_id().cast("long").alias("sender"), "doc_id", "fp", "text_sha256", "n_cp", *more), "exact-marks")
     owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), marks.count() // OWNER_ROWS)
     dup = stored(suspects(marks, owners), "exact-suspects")
-    sieve = spark.sparkContext.broadcast(bloom(dup))
+    sieve = spark.sparkContext.broadcast(bloom(dup, bloom_bits(dup.count())))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(np.frombuffer(sieve.value, np.uint8)).view(bool)
+        packed = np.frombuffer(sieve.value, np.uint8)
         for b in batches:
-            ok = full[_slots(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), len(full))].all(1)
+            ok = may_hold(packed, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
             if ok.any():
                 yield b.filter(pa.array(ok))
 
@@ -190,9 +202,8 @@ def exact_duplicates(docs: DataFrame, key: str | None = None) -> DataFrame:
     groups = rows.select("doc_id", "norm", "fp", "n_cp", *more).mapInArrow(sift, "doc_id long, norm string, fp long, n_cp long" + "".join(f", {c} long" for c in more))
     # the key holds the bytes themselves: equal digests alone never make two texts equal
     verified = groups.groupBy("fp", "norm").agg(best.alias("best"), F.count("*").alias("group_size")).filter("group_size > 1").select(F.sha2("norm", 256).alias("sha"), F.col("best.doc_id").alias("keep_id"), "group_size", F.col(f"best.{key or 'doc_id'}").alias("keep_key"))
-    salted = verified.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    left = marks.withColumn("salt", F.pmod(F.xxhash64("doc_id", *more), F.lit(SPREAD)).cast("int"))
-    out = left.join(salted, (left["text_sha256"] == salted["sha"]) & (left["salt"] == salted["salt"]), "left")
+    verified = stored(verified, "exact-groups")  # both sides of the join are then plain exchanges, of which Spark splits skewed partitions
+    out = marks.join(verified, marks["text_sha256"] == verified["sha"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.coalesce(F.col("group_size").isNull() | (F.col(key or "doc_id") == F.col("keep_key")), F.lit(False)).alias("kept"), "text_sha256", *more)
 
