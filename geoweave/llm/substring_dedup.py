@@ -6,9 +6,9 @@ starts in a document with a smaller doc_id; windows are judged on the input.
 1. One scan gives each document its word count, the SHA-256 of its words, and its anchors: the least hash of the GRAM-word runs inside
    each window. Equal windows have equal anchors, and about one word in thirteen starts one, so the index is a small part of the text.
    Documents with equal word sequences are settled by that digest; only the first of them goes on.
-2. The index holds sorted immutable runs of (anchor hash, least doc_id). Each batch of documents, in order of doc_id, is merge-joined
-   with the runs and with itself; anchors that another document holds are suspects. The batch becomes a run; when there are over
-   FANOUT runs, they are compacted into one.
+2. The index holds sorted immutable runs of (anchor hash, least doc_id), bucketed by hash, and a manifest of them. Each batch of
+   documents, in order of doc_id, is merge-joined with the runs and with itself; anchors that another document holds are suspects. The
+   batch becomes a run; when there are over FANOUT runs, they are compacted into one. A later session can open the folder and add to it.
 3. Only documents with a suspect anchor have their text read again (a Bloom filter of checked size, then a join). They give a 128-bit
    digest of the words themselves for each window whose anchor is a suspect; a window is verified as repeated when its digest has a
    smaller doc_id. Digests are grouped with partial aggregation, then joined, so a passage that very many documents share is split.
@@ -21,6 +21,7 @@ repeat it get the same result; an empty table gives no rows; extra columns are n
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoweave.session import checkpoint_dir
+
 from .common import map_rows, stored, table, texts
-from .exact_dedup import _slots, bloom
+from .exact_dedup import bloom, bloom_bits, may_hold
 
 WINDOW, GRAM, BATCHES, FANOUT = 50, 25, 3, 2
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -120,29 +123,57 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, least doc_id) in the shared folder. add() looks a batch up, then adds it as a run."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.runs: list[DataFrame] = []
-        self.fanout = fanout
+    """Sorted immutable runs of (hash, least doc_id, greatest doc_id) in a shared folder, bucketed by hash, so that runs merge-join bucket
+    by bucket without a shuffle. A manifest in the folder lists the runs after each add() or compact(); opening a folder that has one goes
+    on from there, in any later session."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.path = path or f"{checkpoint_dir(spark).rstrip('/')}/window-index-{uuid.uuid4().hex}"
+        self.runs: list[str] = []
+        self.version, self.buckets = 0, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            last = spark.read.schema(self._MANIFEST).parquet(f"{self.path}/manifest").orderBy(F.desc("version")).head()
+            self.version, self.buckets, self.runs = last.version, last.buckets, list(last.runs)
+
+    _MANIFEST = "version int, buckets int, runs array<string>"
+
+    def _commit(self, runs: list[str]) -> None:
+        self.runs, self.version = runs, self.version + 1
+        self.spark.createDataFrame([(self.version, self.buckets, runs)], self._MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
+
+    def run(self, name: str) -> DataFrame:
+        if not self.spark.catalog.tableExists(name):  # another session wrote it
+            self.spark.sql(f"CREATE TABLE {name} (hash BIGINT, doc_id BIGINT, last BIGINT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """batch (hash, doc_id), distinct -> the hashes of the batch that another document, of it or of the runs, has too."""
-        own = stored(batch.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).sortWithinPartitions("hash"), "lsm-run")
-        found = own.filter("doc_id < last").select("hash")
-        for run in self.runs:
-            found = found.unionAll(own.join(run.select("hash"), "hash").select("hash"))
-        self.runs.append(own)
-        hits = stored(found.distinct(), "lsm-hits")
+        name = self._write(batch.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")))
+        own = self.run(name)
+        found, held = own, F.col("doc_id") < F.col("last")
+        for k, run in enumerate(self.runs):
+            found = found.join(self.run(run).select("hash", F.lit(True).alias(f"_{k}")).hint("merge"), "hash", "left")
+            held |= F.col(f"_{k}").isNotNull()
+        hits = stored(found.filter(held).select("hash"), "lsm-hits")
+        self._commit([*self.runs, name])
         if len(self.runs) > self.fanout:
             self.compact()
         return hits
 
     def compact(self) -> None:
-        merged = self.runs[0]
-        for run in self.runs[1:]:
-            merged = merged.unionAll(run)
-        self.runs = [stored(merged.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.max("last").alias("last")).sortWithinPartitions("hash"), "lsm-run")]
+        """Merge all runs into one. The old ones stay as they are: a reader may hold them."""
+        merged = self.run(self.runs[0])
+        for run in self.runs[1:]:  # full outer merge joins, bucket by bucket
+            other = self.run(run).toDF("hash", "doc_id_", "last_").hint("merge")
+            merged = merged.join(other, "hash", "full").select("hash", F.least("doc_id", "doc_id_").alias("doc_id"), F.greatest("last", "last_").alias("last"))
+        self._commit([self._write(merged)])
 
 
 def covered_windows(flagged: DataFrame) -> DataFrame:
@@ -191,20 +222,15 @@ def sieve(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64("doc_id").alias("fp")), bits))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = np.unpackbits(np.frombuffer(held.value, np.uint8)).view(bool)
+        packed = np.frombuffer(held.value, np.uint8)
         for b in batches:
-            ok = full[_slots(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), len(full))].all(1)
+            ok = may_hold(packed, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
             if ok.any():
                 yield b.filter(pa.array(ok)).drop_columns(["fp"])
 
     return docs.withColumn("fp", F.xxhash64("doc_id")).mapInArrow(sift, docs.schema)
 
 
-def bloom_bits(n: int, most: int = 1 << 28) -> int:
-    """About 12 bits a key, in 2**20 .. 2**28 (32 MB); beyond that, more rows pass and the join drops them."""
-    return min(most, 1 << max(20, (12 * n).bit_length()))
-
-
 def substring_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     source = texts(docs)
@@ -215,12 +241,13 @@ def substring_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     held = prof.join(one, (prof["sha"] == one["s"]) & (prof["doc_id"] == one["rep"]))  # by both: copies don't meet in one task
     anchors = stored(held.select("doc_id", F.explode("anchors").alias("hash")), "window-anchors")
     cuts = sorted(set(reps.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    index, hits = FingerprintIndex(), None
+    index, hits = FingerprintIndex(docs.sparkSession), None
     for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = anchors if lo is None else anchors.filter(F.col("doc_id") > lo)
         new = index.add(part if hi is None else part.filter(F.col("doc_id") <= hi))
         hits = new if hits is None else hits.unionAll(new)
-    flagged = stored(anchors.join(hits.distinct(), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("suspects")), "window-suspects")
+    hits = stored(hits.distinct(), "lsm-hits")
+    flagged = stored(anchors.join(hits, "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("suspects")), "window-suspects")
     again = sieve(source, flagged, bloom_bits(flagged.count()))
     whole = stored(again.join(flagged, "doc_id"), "window-texts")
     at = covered_windows(whole).groupBy("doc_id").agg(F.collect_set("at").alias("at"))
@@ -233,9 +260,11 @@ def substring_duplicates(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         return rows
 
     cut = map_rows(whole.select("doc_id", "text").join(at, "doc_id"), make, "doc_id long, n_removed long, kept string")
-    copies = prof.drop("anchors").join(first, "sha", "left")
+    cut = stored(cut.groupBy("doc_id").agg(F.max_by("kept", "n_removed").alias("kept"), F.max("n_removed").alias("cut")), "window-cuts")
+    copied = stored(prof.filter("n_words >= %d AND doc_id IS NOT NULL" % WINDOW).groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1"), "window-copies")
+    copies = prof.drop("anchors").join(copied.select("sha", "rep"), "sha", "left")  # hot texts: both sides are plain exchanges, which Spark splits
     copies = copies.withColumn("copy", F.coalesce(F.col("doc_id") > F.col("rep"), F.lit(False)))
-    out = copies.join(cut.groupBy("doc_id").agg(F.max_by("kept", "n_removed").alias("kept"), F.max("n_removed").alias("cut")), "doc_id", "left")
+    out = copies.join(cut, "doc_id", "left")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select("doc_id", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("copy"), none).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
 
