@@ -6,7 +6,8 @@ Archives are at most about ARCHIVE_BYTES of records and are rows of a Parquet ta
 written and read through Spark on any file system; export_archives puts them into .warc.zst files.
 
 Of records with equal payloads of at least `least` bytes, the one with the smallest page_id is a response and the others are revisits of
-it (payload digests are grouped before the shuffle; only digests that occur twice are joined back to the pages).
+it. Payload digests are grouped before the shuffle; pages that a Bloom filter of the repeated ones passes are joined with those, and no
+other page moves.
 
 Reading checks the frames, WARC version lines, header fields, Content-Length against the block, HTTP head, and payload digests.
 
@@ -23,12 +24,14 @@ import struct
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SLICE_ROWS, slices, stored, table
+from .exact_dedup import bloom, bloom_bits, may_hold
 
 SKIPPABLE, ZSTD_MAGIC = 0x184D2A5D, b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES, DICT_RECORDS, DICT_BYTES, DICT_SIZE, LEVEL = 16_000_000, 400, 4_000_000, 32_768, 3
@@ -152,33 +155,49 @@ def parse(raw: bytes) -> dict:
     return {"page_id": page_of(fields["warc-record-id"]), "payload_bytes": length, "payload_digest": digest, "record_type": kind, "refers_to": page_of(fields["warc-refers-to"]) if kind == "revisit" else None, "payload": payload}
 
 
+_ARCHIVE = "archive string, n_records long, blob binary"
+
+
 def write_archives(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages (page_id, url, html) -> the stored archives (archive, n_records, blob)."""
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    first = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = rows.join(first, ["digest", "size"], "left").select("page_id", "url", "html", "first")
+    groups = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = stored(groups.filter("n > 1").drop("n"), "warc-repeated")  # plain exchanges on both sides of the join: Spark splits hot digests
+    held = pages.sparkSession.sparkContext.broadcast(bloom(first.select(F.xxhash64("digest").alias("fp")), bloom_bits(first.count())))
     schema = pa.schema([("archive", pa.string()), ("n_records", pa.int64()), ("blob", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, count = [], 0, 0
+    def close(records: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"archive": [hashlib.sha1(records[0]).hexdigest()[:16]], "n_records": [len(records)], "blob": [pack(records)]}, schema=schema)
 
-        def close():
-            return pa.RecordBatch.from_pydict({"archive": [hashlib.sha1(held[0]).hexdigest()[:16]], "n_records": [len(held)], "blob": [pack(held)]}, schema=schema)
+    def may_repeat(batch: pa.RecordBatch) -> np.ndarray:
+        return may_hold(np.frombuffer(held.value, np.uint8), batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
 
+    def write(batches: Iterator[pa.RecordBatch], joined: bool) -> Iterator[pa.RecordBatch]:
+        records, size = [], 0
         for batch in batches:
-            for part in slices(batch):
-                for page, url, html, first_page in zip(*(c.to_pylist() for c in part.columns)):
-                    r = record(page, url, html.encode(), first_page if first_page is not None and first_page != page else None)
-                    if held and size + len(r) > ARCHIVE_BYTES:
-                        yield close()
-                        held, size = [], 0
-                    held.append(r)
+            for part in slices(batch if joined else batch.filter(pa.array(~may_repeat(batch)))):
+                firsts = part.column("first").to_pylist() if joined else [None] * len(part)
+                for page, url, html, of in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), firsts):
+                    r = record(page, url, html.encode(), of if of is not None and of != page else None)
+                    if records and size + len(r) > ARCHIVE_BYTES:
+                        yield close(records)
+                        records, size = [], 0
+                    records.append(r)
                     size += len(r)
-        if held:
-            yield close()
+        if records:
+            yield close(records)
 
-    return stored(joined.mapInArrow(run, "archive string, n_records long, blob binary"), "warc")
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.filter(pa.array(may_repeat(batch)))
+            if len(kept):
+                yield kept.drop_columns(["fp"])
+
+    hashed = rows.select("page_id", "url", "html", "digest", "size", F.xxhash64("digest").alias("fp"))
+    lone = hashed.drop("digest", "size").mapInArrow(lambda b: write(b, False), _ARCHIVE)
+    again = hashed.mapInArrow(sift, "page_id long, url string, html string, digest string, size int").join(first, ["digest", "size"], "left")
+    return stored(lone.unionAll(again.select("page_id", "url", "html", "first").mapInArrow(lambda b: write(b, True), _ARCHIVE)), "warc")
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
