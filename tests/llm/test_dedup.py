@@ -174,11 +174,29 @@ def test_substring_shared_passages(make):
     assert sorted(got) == sorted(brute_substring(texts))
 
 
-def test_index_compacts_and_remembers(spark):
-    index = substring_dedup.FingerprintIndex(fanout=2)
-    found = [sorted(r.hash for r in index.add(spark.createDataFrame(rows, "hash long, doc_id long")).collect()) for rows in ([(1, 1), (2, 1)], [(2, 2), (3, 2)], [(4, 3), (4, 4)], [(1, 5), (3, 5)])]
-    assert found == [[], [2], [4], [1, 3]]
-    assert len(index.runs) <= 2
+def test_index_compacts_reopens_and_remembers(spark, tmp_path):
+    path = "file://" + str(tmp_path / "index")
+    found, batches = [], ([(1, 1), (2, 1)], [(2, 2), (3, 2)], [(4, 3), (4, 4)], [(1, 5), (3, 5)])
+    for k, rows in enumerate(batches):
+        index = substring_dedup.FingerprintIndex(spark, path, fanout=2, buckets=3)  # opened anew for each batch
+        assert index.version == (k if k < 3 else 4) and index.buckets == 3
+        found.append(sorted(r.hash for r in index.add(spark.createDataFrame(rows, "hash long, doc_id long")).collect()))
+        for name in index.runs:
+            spark.sql(f"DROP TABLE {name}")  # as in another session, whose catalog is empty
+    assert found == [[], [2], [4], [1, 3]] and len(index.runs) == 2
+    index = substring_dedup.FingerprintIndex(spark, path)
+    index.compact()
+    assert sorted(tuple(r) for r in index.run(index.runs[0]).collect()) == [(1, 1, 5), (2, 1, 2), (3, 2, 5), (4, 3, 4)]
+
+
+def test_runs_merge_join_without_a_shuffle(spark):
+    index = substring_dedup.FingerprintIndex(spark)
+    for k in (0, 1):
+        index.add(spark.range(2000).selectExpr(f"id * 2 + {k} AS hash", "id AS doc_id"))
+    a, b = map(index.run, index.runs)
+    joined = a.join(b.select("hash").hint("merge"), "hash")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
 
 
 def test_window_minima_match_naive():

@@ -1,5 +1,5 @@
 import corpus_pipeline
-from geoweave.llm import bpe, registry
+from geoweave.llm import bpe, common, registry
 from geoweave.llm.common import stored
 
 
@@ -46,6 +46,26 @@ def test_one_row_of_each_group_stays(spark):
     assert set(copies) == set(want) and max(map(copies.count, want)) <= 2
 
 
+def test_stages_decide_rows_not_ids(spark):
+    """Rows that share ids with other texts, and columns that clash with those of the helpers."""
+    rows = [(1, "aa aa b"), (2, "bb bb c"), (2, "aa aa b"), (3, "cc cc d"), (3, "dd dd e"), (None, "ee ee f")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _row long, _times int, _id long, _nth int, kept boolean, copies int, times int"
+    d = spark.createDataFrame([(i, t, "en", "s", len(t), 1, 2, 3, 4, False, 0, 0) for i, t in rows], columns).repartition(2)
+    exact = corpus_pipeline.distinct(spark, d, "")
+    assert exact.columns == d.columns and sorted(r.text for r in exact.collect()) == sorted({t for _, t in rows})
+    assert {(r.doc_id, r._row, r.kept) for r in exact.collect()} == {(1, 1, False), (2, 1, False), (3, 1, False), (None, 1, False)}
+    near = corpus_pipeline.dissimilar(spark, d, "")
+    assert near.columns == d.columns and sorted(r.text for r in near.collect()) == sorted({t for _, t in rows})
+    mixed = corpus_pipeline.mixed(spark, exact, "")
+    assert mixed.columns == d.columns and 5 <= mixed.count() <= 10
+
+
+def test_run_deletes_what_it_has_stored(spark):
+    before = len(common._made)
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(common._made) == before + 1 and out.count() > 0
+
+
 def test_registry_names():
     assert sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == [n for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0])) if n.startswith("op")]
     assert len(registry.QUERIES) == 10 and set(registry.ORACLE) <= set(registry.QUERIES)
