@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from geoweave.llm.common import decided_rows, keyed, stored, table
+from geoweave.llm import bpe, common, exact_dedup, mixing, simhash, toxicity
+from geoweave.llm.common import drop_stored, kept_rows, keyed, repeated_rows, stored, table
 
 #: Scores of a model trained in numpy can't be had from SQL.
 ORACLE_SQL = None
@@ -19,21 +19,19 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = exact_dedup.exact_duplicates(rows, key="_row")
-    return decided_rows(rows, found.select("_row", F.col("kept").cast("int").alias("times")))
+    rows, key = keyed(docs)
+    return kept_rows(rows, key, exact_dedup.exact_duplicates(rows, key))
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = simhash.near_duplicates(rows, key="_row")
-    return decided_rows(rows, found.select("_row", F.col("kept").cast("int").alias("times")))
+    rows, key = keyed(docs)
+    return kept_rows(rows, key, simhash.near_duplicates(rows, key=key))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = mixing.mix(rows.withColumn("doc_id", F.col("_row")))  # what is rounded is a row
-    return decided_rows(rows, found.select(F.col("doc_id").alias("_row"), F.col("copies").alias("times")))
+    rows, key = keyed(docs)
+    found = mixing.mix(rows.withColumn("doc_id", F.col(key)))  # what is rounded is a row
+    return repeated_rows(rows, key, found.select(F.col("doc_id").alias(key), "copies"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,9 +42,12 @@ STAGES = [("toxicity", clean), ("exact dedup", distinct), ("simhash near-dedup",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's rows are stored before the next begins; then what it and the stage before have stored on the way is deleted."""
     docs = table(spark, sf_dir, "documents")
+    begun = len(common._made)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{i}")
+            drop_stored(spark, begun, keep=1)
     return docs
