@@ -81,8 +81,19 @@ def cells_along(lat1, lon1, lat2, lon2, radius_m: float, cell_m: float) -> Colum
     dlat, dlon = lat2 - lat1, geo.wrap_lon_delta(lon2 - lon1)
     low = F.when(lat1 * lat2 > 0, F.least(F.abs(lat1), F.abs(lat2))).otherwise(0.0)
     length = geo.METRES_PER_DEGREE * F.sqrt(dlat * dlat + F.pow(dlon * F.cos(F.radians(low)), 2))
-    n = F.greatest(F.lit(1), F.ceil(length / (2 * (cell_m - radius_m)))).cast("int")
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: cells_around(lat1 + dlat * (i / n), lon1 + dlon * (i / n), cell_m))))
+    steps = F.greatest(F.lit(1), F.ceil(length / (2 * (cell_m - radius_m)))).cast("int")
+
+    def of_row(row, lon):
+        with_n = F.struct(row.alias("r"), _columns(row, cell_m).alias("n"))
+        return geo.let(with_n, lambda x: geo.let(_column(lon, x.n), lambda c: F.array(*(_key(x.r, c + d, x.n) for d in (-1, 0, 1)))))
+
+    def around(p):
+        return geo.let(grid_row(p.lat, cell_m), lambda r: F.flatten(F.transform(F.array(r - 1, r, r + 1), lambda row: of_row(row, p.lon))))
+
+    # each value is bound once: a tree that repeats them would be walked for every point
+    frame = F.struct(lat1.alias("lat"), lon1.alias("lon"), dlat.alias("dlat"), dlon.alias("dlon"), steps.alias("n"))
+    points = geo.let(frame, lambda s: F.transform(F.sequence(F.lit(0), s.n), lambda i: F.struct((s.lat + s.dlat * (i / s.n)).alias("lat"), (s.lon + s.dlon * (i / s.n)).alias("lon"))))
+    return F.array_distinct(F.flatten(F.transform(points, around)))
 
 
 def _finite(df: DataFrame) -> DataFrame:
@@ -93,7 +104,8 @@ def points_within(queries: DataFrame, points: DataFrame, radius_m: float) -> Dat
     """All pairs (qid, fid, distance_m) within the radius; queries (qid, lat, lon, ...), points (fid, lat, lon, ...)."""
     q = _finite(queries).select("qid", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), F.explode(cells_around("lat", "lon", radius_m)).alias("cell"))
     p = _finite(points).select("fid", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), cell("lat", "lon", radius_m).alias("cell"))
-    return q.join(p, "cell").select("qid", "fid", geo.haversine_m("q_lat", "q_lon", "p_lat", "p_lon").alias("distance_m")).filter(F.col("distance_m") <= radius_m)
+    level = F.abs(F.col("q_lat") - F.col("p_lat")) <= _height(radius_m)  # before the trigonometry
+    return q.join(p, "cell").filter(level).select("qid", "fid", geo.haversine_m("q_lat", "q_lon", "p_lat", "p_lon").alias("distance_m")).filter(F.col("distance_m") <= radius_m)
 
 
 def segments(ways: DataFrame) -> DataFrame:
@@ -102,24 +114,29 @@ def segments(ways: DataFrame) -> DataFrame:
     return e.select("fid", F.col("e.i").alias("segment"), F.col("e.a.lat").alias("lat1"), F.col("e.a.lon").alias("lon1"), F.col("e.b.lat").alias("lat2"), F.col("e.b.lon").alias("lon2"))
 
 
-def segments_within(queries: DataFrame, segs: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of a query and a segment within the radius, each once: qid, q_lat, q_lon, the segment's columns, distance_m."""
-    wide, reach = max(1.25 * radius_m, LINE_CELL_M), _height(radius_m)
-    q = _finite(queries).select("qid", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cell("lat", "lon", wide).alias("cell"))
-    s = segs.filter(geo.is_finite("lat1") & geo.is_finite("lon1") & geo.is_finite("lat2") & geo.is_finite("lon2")).withColumn("cell", F.explode(cells_along("lat1", "lon1", "lat2", "lon2", radius_m, wide)))
-    level = F.col("q_lat").between(F.least("lat1", "lat2") - reach, F.greatest("lat1", "lat2") + reach)  # before the trigonometry
-    d = geo.segment_distance_m("q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2")
-    return q.join(s, "cell").filter(level).drop("cell").withColumn("distance_m", d).filter(F.col("distance_m") <= radius_m)
+def _line_rows(segs: DataFrame, radius_m: float) -> tuple[DataFrame, float]:
+    """Segments dealt to the cells in reach of them, and the width of those cells."""
+    wide = max(1.25 * radius_m, LINE_CELL_M)
+    s = segs.filter(geo.is_finite("lat1") & geo.is_finite("lon1") & geo.is_finite("lat2") & geo.is_finite("lon2"))
+    return s.withColumn("cell", F.explode(cells_along("lat1", "lon1", "lat2", "lon2", radius_m, wide))), wide
 
 
-def best_pair(pairs: DataFrame, *keep: str, rank: list | None = None) -> DataFrame:
-    """qid, b: the best pair of each query, by distance and then input order."""
-    order = F.struct(*(rank or [F.col("distance_m"), F.col("fid")]))
-    return pairs.groupBy("qid").agg(F.min_by(F.struct("fid", "distance_m", *keep), order).alias("b"))
+def _line_distance() -> Column:
+    return geo.segment_distance_m("q_lat", "q_lon", "_cos", "lat1", "lon1", "lat2", "lon2")
 
 
-def nearest(pairs: DataFrame, *keep: str, rank: list | None = None) -> DataFrame:
-    return best_pair(pairs, *keep, rank=rank).select("qid", "b.*")
+def _placed(queries: DataFrame) -> DataFrame:
+    """Queries with what every pair needs of them."""
+    return queries.withColumnsRenamed({"lat": "q_lat", "lon": "q_lon"}).withColumn("_cos", F.cos(F.radians("q_lat")))
+
+
+def segments_within(queries: DataFrame, segs: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of a query and a segment within the radius, each once: qid, q_lat, q_lon, the segment's columns, distance_m."""
+    s, wide = _line_rows(segs, radius_m)
+    q = _placed(_finite(queries).select("qid", "lat", "lon")).withColumn("cell", cell("q_lat", "q_lon", wide))
+    reach = _height(radius_m)
+    level = F.col("q_lat").between(F.least("lat1", "lat2") - reach, F.greatest("lat1", "lat2") + reach)
+    return q.join(s, "cell").filter(level).withColumn("distance_m", _line_distance()).filter(F.col("distance_m") <= radius_m).drop("cell", "_cos")
 
 
 def radii(most_m: float) -> list[float]:
@@ -131,37 +148,57 @@ def radii(most_m: float) -> list[float]:
     return [*out, most_m]
 
 
-def by_rounds(queries: DataFrame, best, most_m: float) -> DataFrame:
-    """best(queries, radius) -> (qid, b) over growing radii: a query that has found something is settled, and only the others go on, so
-    that the pairs looked at grow with the answers and not with the area of the last radius."""
-    out, left, steps = None, queries, radii(most_m)
-    for k, r in enumerate(steps):
-        found = best(left, r)
-        out = found if out is None else out.unionByName(found)
-        if k < len(steps) - 1:  # with b whole on both uses, Spark computes a round once and reuses its exchange
-            left = left.join(found, "qid", "left").filter("b IS NULL").drop("b")
-    return out.select("qid", "b.*")
+def by_rounds(queries: DataFrame, most_m: float, meet, best: Column, order: Column) -> DataFrame:
+    """The best feature of each query within most_m, over growing radii: a query that has found something is settled and meets nothing
+    more, so the pairs looked at grow with the answers and not with the area of the last radius.
+
+    meet(state, cells, many, radius) left-joins the queries (qid, q_lat, q_lon, _cos) with the features in reach and adds `hit`; cells(own)
+    and many(own) are the query's cell or cells, or, where it is settled, one that no feature has. best and order are read where there is a hit. Each round
+    reads the one before once, so the plan grows by a constant a round."""
+    state, settled = _placed(_finite(queries).select("qid", "lat", "lon")), None
+    for r in radii(most_m):
+        nowhere = -1 - F.pmod(F.xxhash64("qid"), F.lit(1 << 31))  # cells are not negative; spread over many
+        cells = lambda own, s=settled, n=nowhere: own if s is None else F.when(s, n).otherwise(own)
+        many = lambda own, s=settled, n=nowhere: own if s is None else F.when(s, F.array(n)).otherwise(own)
+        pairs = meet(state, cells, many, r)
+        found = F.min_by(F.when(F.col("hit"), best), F.when(F.col("hit"), order))
+        held = [F.first(c).alias(c) for c in ("q_lat", "q_lon", "_cos")]
+        state = pairs.groupBy("qid").agg(*held, (found if settled is None else F.coalesce(F.first("b", ignorenulls=True), found)).alias("b"))
+        settled = F.col("b").isNotNull()
+    return state.filter(settled)
 
 
 def nearest_point(queries: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """Qid, fid, distance_m of the nearest point within the radius."""
-    return by_rounds(queries.select("qid", "lat", "lon"), lambda q, r: best_pair(points_within(q, points, r)), radius_m)
+    p = _finite(points).select("fid", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+
+    def meet(state, _, many, r):
+        q = state.withColumn("cell", F.explode(many(cells_around("q_lat", "q_lon", r))))
+        pairs = q.join(p.withColumn("cell", cell("p_lat", "p_lon", r)), "cell", "left").withColumn("distance_m", geo.haversine_m("q_lat", "q_lon", "p_lat", "p_lon"))
+        return pairs.withColumn("hit", F.col("distance_m") <= r)
+
+    return by_rounds(queries, radius_m, meet, F.struct("fid", "distance_m"), F.struct("distance_m", "fid")).select("qid", "b.*")
 
 
 def nearest_way(queries: DataFrame, ways: DataFrame, radius_m: float) -> DataFrame:
     """Qid, fid, distance_m, segment, snapped_lat, snapped_lon of the nearest line within the radius."""
     segs = segments(ways)
-    keep, rank = ("segment", "q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2"), [F.col("distance_m"), F.col("fid"), F.col("segment")]
-    found = by_rounds(queries.select("qid", "lat", "lon"), lambda q, r: best_pair(segments_within(q, segs, r), *keep, rank=rank), radius_m)
+
+    def meet(state, cells, _, r):
+        s, wide = _line_rows(segs, r)
+        pairs = state.withColumn("cell", cells(cell("q_lat", "q_lon", wide))).join(s, "cell", "left").withColumn("distance_m", _line_distance())
+        return pairs.withColumn("hit", F.col("distance_m") <= r)
+
+    found = by_rounds(queries, radius_m, meet, F.struct("fid", "distance_m", "segment", "lat1", "lon1", "lat2", "lon2"), F.struct("distance_m", "fid", "segment"))
     at = geo.snap("q_lat", "q_lon", "lat1", "lon1", "lat2", "lon2")
-    return found.withColumn("at", at).select("qid", "fid", "distance_m", "segment", F.col("at.lat").alias("snapped_lat"), F.col("at.lon").alias("snapped_lon"))
+    return found.select("qid", "q_lat", "q_lon", "b.*").withColumn("at", at).select("qid", "fid", "distance_m", "segment", F.col("at.lat").alias("snapped_lat"), F.col("at.lon").alias("snapped_lon"))
 
 
 def nearest_exact(queries: DataFrame, points: DataFrame, start_m: float, most_m: float = 2.1e7) -> DataFrame:
     """The nearest point however far: rounds of growing radius, each for the queries that found none, until all have found one."""
     out, left, radius = None, queries.select("qid", "lat", "lon"), start_m
     while True:
-        found = nearest(points_within(left, points, radius))
+        found = nearest_point(left, points, radius)
         out = found if out is None else out.unionByName(found)
         radius *= 4
         left = left.join(found.select("qid"), "qid", "left_anti")
@@ -169,31 +206,44 @@ def nearest_exact(queries: DataFrame, points: DataFrame, start_m: float, most_m:
             return out
 
 
-def areas_near(queries: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
-    """Pairs of a query and an area (fid, coords) that contains it or whose border is within the radius: qid, fid, distance_m (0 inside),
-    depth_m (to the border), inside. Rings are looked at only where the query is in reach of the area's box."""
+def _area_rows(areas: DataFrame, radius_m: float) -> tuple[DataFrame, float, Column]:
+    """Areas dealt to the cells of their boxes, the width of those cells, and whether a query is in reach of an area's box."""
     wide, reach = max(radius_m, AREA_CELL_M), _height(radius_m)
-    q = _finite(queries).select("qid", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cell("lat", "lon", wide).alias("cell"))
     lats, lons = F.transform("coords", lambda p: p.lat), F.transform("coords", lambda p: p.lon)
     a = areas.filter(F.size("coords") >= 2).select("fid", "coords", F.array_min(lats).alias("lat0"), F.array_max(lats).alias("lat1"), F.array_min(lons).alias("lon0"), F.array_max(lons).alias("lon1"))
     polar = F.least(F.lit(89.9), F.greatest(F.abs("lat0"), F.abs("lat1")) + reach)
     a = a.withColumn("half", (F.col("lon1") - F.col("lon0")) / 2 + reach / F.cos(F.radians(polar))).withColumn("mid", (F.col("lon0") + F.col("lon1")) / 2)
-    a = a.withColumn("cell", F.explode(cells_over("lat0", "lon0", "lat1", "lon1", wide)))
     near = F.col("q_lat").between(F.col("lat0") - reach, F.col("lat1") + reach) & (F.abs(geo.wrap_lon_delta(F.col("q_lon") - F.col("mid"))) <= F.col("half"))
+    return a.withColumn("cell", F.explode(cells_over("lat0", "lon0", "lat1", "lon1", wide))), wide, near
+
+
+def areas_near(queries: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
+    """Pairs of a query and an area (fid, coords) that contains it or whose border is within the radius: qid, fid, distance_m (0 inside),
+    depth_m (to the border), inside. Rings are looked at only where the query is in reach of the area's box."""
+    a, wide, near = _area_rows(areas, radius_m)
+    q = _finite(queries).select("qid", F.col("lat").alias("q_lat"), F.col("lon").alias("q_lon"), cell("lat", "lon", wide).alias("cell"))
     pairs = q.join(a, "cell").filter(near).select("qid", "fid", "q_lat", "q_lon", "coords")
     pairs = pairs.withColumn("inside", geo.in_ring("q_lat", "q_lon", "coords")).withColumn("depth_m", geo.ring_distance_m("q_lat", "q_lon", "coords"))
     pairs = pairs.filter(F.col("inside") | (F.col("depth_m") <= radius_m))
     return pairs.select("qid", "fid", F.when(F.col("inside"), 0.0).otherwise(F.col("depth_m")).alias("distance_m"), "depth_m", "inside")
 
 
-_AREA_RANK = [~F.col("inside"), F.col("distance_m"), F.col("fid")]
+def best_area(queries: DataFrame, areas: DataFrame, radius_m: float, deepest: bool = False) -> DataFrame:
+    """A containing area before any other, then the nearest border, then input order: qid, fid, distance_m, depth_m, inside. With
+    `deepest`, of several containing areas the one whose border is farthest comes first."""
 
+    def meet(state, cells, _, r):
+        a, wide, near = _area_rows(areas, r)
+        pairs = state.withColumn("cell", cells(cell("q_lat", "q_lon", wide))).join(a, "cell", "left")
+        pairs = pairs.withColumn("inside", F.when(near, geo.in_ring("q_lat", "q_lon", "coords"))).withColumn("depth_m", F.when(near, geo.ring_distance_m("q_lat", "q_lon", "coords")))
+        return pairs.withColumn("hit", F.col("inside") | (F.col("depth_m") <= r))
 
-def best_area(queries: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
-    """A containing area before any other, then the nearest border, then input order: qid, fid, distance_m, inside."""
-    return by_rounds(queries.select("qid", "lat", "lon"), lambda q, r: best_pair(areas_near(q, areas, r), "inside", rank=_AREA_RANK), radius_m)
+    distance = F.when(F.col("inside"), 0.0).otherwise(F.col("depth_m")).alias("distance_m")
+    rank = F.when(F.col("inside"), -F.col("depth_m")).otherwise(F.col("depth_m")) if deepest else distance
+    return by_rounds(queries, radius_m, meet, F.struct("fid", distance, "depth_m", "inside"), F.struct(~F.col("inside"), rank, "fid")).select("qid", "b.*")
 
 
 def best_of(found: DataFrame) -> DataFrame:
     """Of rows (qid, fid, distance_m, inside), the best of each query by the same order."""
-    return nearest(found, "inside", rank=_AREA_RANK)
+    best = F.min_by(F.struct("fid", "distance_m", "inside"), F.struct(~F.col("inside"), "distance_m", "fid"))
+    return found.groupBy("qid").agg(best.alias("b")).select("qid", "b.*")

@@ -42,7 +42,7 @@ def nearest_stop(queries: DataFrame, features: DataFrame, within_m: float = SCOP
 
 def park_at(queries: DataFrame, parks: DataFrame, within_m: float = SCOPE_M) -> DataFrame:
     """J5."""
-    return knn.best_area(queries, parks, within_m)
+    return knn.best_area(queries, parks, within_m).drop("depth_m")
 
 
 def water_at(queries: DataFrame, water: DataFrame, within_m: float = SCOPE_M) -> DataFrame:

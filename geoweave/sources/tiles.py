@@ -637,9 +637,9 @@ def file_bytes(letter: str, version: int, cells: dict[int, bytes], merged: int =
     return head.ljust(HEADER_SIZE, b"\0") + dictionary + index + b"".join(b for _, b in blocks)
 
 
-def write_file(path: str, letter: str, version: int, cells: dict[int, bytes], merged: int = 0, **more) -> None:
+def write_file(path: str, letter: str, version: int, cells: dict[int, bytes], merged: int = 0, dictionary: bytes = b"", **more) -> None:
     with open(path, "wb") as f:
-        f.write(file_bytes(letter, version, cells, merged, **more))
+        f.write(file_bytes(letter, version, cells, merged, dictionary, **more))
 
 
 def encode_files(features: DataFrame, layer: str, by: str = "file", merged: int = 0) -> DataFrame:

@@ -48,6 +48,73 @@ def test_radius_join_is_brute_force_everywhere(spark, centre):
     assert set(got) == want and len(got) == len(want)
 
 
+def plane_m(lat, lon, a, b):
+    """Metres from a point to a segment on the plane that touches there."""
+    k = math.radians(1) * 6_371_000.0
+    wrap = lambda d: (d + 180) % 360 - 180
+    x, y = wrap(a[1] - lon) * k * math.cos(math.radians(lat)), (a[0] - lat) * k
+    dx, dy = wrap(b[1] - a[1]) * k * math.cos(math.radians(lat)), (b[0] - a[0]) * k
+    t = max(0.0, min(1.0, -(x * dx + y * dy) / (dx * dx + dy * dy))) if dx or dy else 0.0
+    return math.hypot(x + t * dx, y + t * dy)
+
+
+@pytest.mark.parametrize("centre", [(36.0, -86.8), (0.0, 179.99), (-70.0, 10.0)])
+def test_nearest_lines_by_rounds_are_brute_force(spark, centre):
+    """Short and long segments, near and far queries, across the 180th meridian: found in the round that settles them."""
+    rng = random.Random(2)
+    at = lambda spread: (centre[0] + rng.uniform(-spread, spread), (centre[1] + rng.uniform(-spread, spread) + 180) % 360 - 180)
+    ways = []
+    for i in range(40):
+        a, reach = at(0.03), rng.choice((0.0, 0.0005, 0.02))
+        ways.append((i, a, (a[0] + rng.uniform(-reach, reach), (a[1] + rng.uniform(-reach, reach) + 180) % 360 - 180)))
+    fixes = [(i, *at(0.03)) for i in range(80)]
+    w = spark.createDataFrame([(i, [{"lon": p[1], "lat": p[0]} for p in (a, b)]) for i, a, b in ways], f"fid long, coords {geo.COORDS}")
+    q = spark.createDataFrame(fixes, "qid long, lat double, lon double")
+    for most in (60.0, 900.0):
+        got = {r.qid: (r.fid, r.distance_m) for r in knn.nearest_way(q, w, most).collect()}
+        want = {i: min((plane_m(lat, lon, a, b), f) for f, a, b in ways) for i, lat, lon in fixes}
+        want = {i: (f, pytest.approx(d, rel=1e-6)) for i, (d, f) in want.items() if d <= most}
+        assert got == want
+    assert knn.radii(900.0) == [50.0, 200.0, 900.0] and knn.radii(60.0) == [60.0]
+    pairs = {(r.qid, r.fid) for r in knn.segments_within(q, knn.segments(w), 900.0).collect()}
+    assert pairs == {(i, f) for i, lat, lon in fixes for f, a, b in ways if plane_m(lat, lon, a, b) <= 900.0}
+
+
+def test_areas_by_rounds_are_brute_force(spark):
+    rng = random.Random(5)
+    boxes = []
+    for i in range(30):
+        y, x, h = 36 + rng.uniform(0, 0.05), -87 + rng.uniform(0, 0.05), rng.choice((0.0003, 0.004))
+        boxes.append((i, y, x, y + h, x + h))
+    fixes = [(i, 36 + rng.uniform(0, 0.05), -87 + rng.uniform(0, 0.05)) for i in range(120)]
+    ring = lambda y, x, v, u: [{"lon": x, "lat": y}, {"lon": u, "lat": y}, {"lon": u, "lat": v}, {"lon": x, "lat": v}]
+    a = spark.createDataFrame([(i, ring(*b)) for i, *b in boxes], f"fid long, coords {geo.COORDS}")
+    q = spark.createDataFrame(fixes, "qid long, lat double, lon double")
+    want = {}
+    for i, lat, lon in fixes:
+        best = []
+        for f, y, x, v, u in boxes:
+            inside = y <= lat < v and x <= lon < u
+            d = min(plane_m(lat, lon, p, r) for p, r in (((y, x), (y, u)), ((y, u), (v, u)), ((v, u), (v, x)), ((v, x), (y, x))))
+            if inside or d <= 800:
+                best.append((not inside, 0.0 if inside else d, f))
+        if best:
+            want[i] = min(best)
+    got = {r.qid: (not r.inside, r.distance_m, r.fid) for r in knn.best_area(q, a, 800.0).collect()}
+    assert got == {i: (o, pytest.approx(d, rel=1e-6), f) for i, (o, d, f) in want.items()}
+
+
+def test_road_context_feeds_the_tracker(spark):
+    from geoweave.streaming import kernels
+
+    roads = spark.createDataFrame([(1, [{"lon": 0.0, "lat": 0.0}, {"lon": 0.01, "lat": 0.0}], "residential")], f"fid long, coords {geo.COORDS}, road_class string")
+    q = spark.createDataFrame([(1, 0.00005, 0.002), (2, 0.1, 0.1)], "qid long, lat double, lon double")
+    (row,) = lookup.road_context(q, roads).collect()
+    road = row.road.asDict()
+    assert row.qid == 1 and road["road_class"] == "residential" and road["distance_m"] == pytest.approx(5.56, abs=0.01) and road["bearing"] == pytest.approx(90)
+    assert kernels.classify(3.0, 5.0, road) == ("driving", 0.85) and kernels.classify(3.0, 5.0, road, bearing=95.0) == ("driving", 0.95)
+
+
 def test_nearest_ties_and_bad_points(spark):
     q = spark.createDataFrame([(1, 0.0, 0.0), (2, float("nan"), 0.0), (3, None, 0.0), (4, 50.0, 50.0)], "qid long, lat double, lon double")
     p = spark.createDataFrame([(9, 0.0, 0.001), (5, 0.0, -0.001), (7, float("nan"), 0.0)], "fid long, lat double, lon double")
@@ -110,6 +177,9 @@ def test_cells(spark):
     assert set(of[:3]) <= set(got) and of[3:] == [0, 0] and len(set(got)) == len(got)
     centre = spark.createDataFrame([(c,) for c in got], "c long").select("c", cells.cell_center(F.col("c")).alias("p")).select("c", "p.*")
     assert all(r.c == r.again for r in centre.select("c", cells.cell_of(F.col("lat"), F.col("lon")).alias("again")).collect())
+    boxes = spark.createDataFrame([(36.0, -86.1, 36.05, -86.0), (1.0, 0.0, 0.0, 1.0), (0.0, 0.0, 10.0, 10.0), (float("nan"), 0.0, 1.0, 1.0)], "a double, b double, c double, d double")
+    rows = [r.x for r in boxes.select(cells.cells_of_bounds("a", "b", "c", "d").alias("x")).collect()]
+    assert sorted(rows[0]) == sorted(got) and rows[1:] == [None] * 3
     for bad in ((1, 0, 0, 1), (0, 0, 10, 10), (float("nan"), 0, 1, 1)):
         with pytest.raises(ValueError):
             cells.cells_for_bounds(spark, *map(float, bad))

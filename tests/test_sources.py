@@ -185,3 +185,22 @@ def test_businesses():
         list(tiles.businesses(v4, 4))
     with pytest.raises(tiles.TileError):
         list(tiles.businesses(v4[:-3], 4, (0, 0)))
+
+
+@pytest.mark.parametrize("merged", [0, 3])
+def test_files_in_a_binary_column(spark, tmp_path, merged):
+    """Files encoded in parallel, stored where only Spark reads them, and decoded from the bytes; a null is no file."""
+    rows = [(k % 2, k % 5, 10**10 + k, 36 + k / 1000, -87 + k / 1000, "stop", None if k % 3 else k) for k in range(40)]
+    t = spark.createDataFrame(rows, "file int, cell long, osm_id long, lat double, lon double, signal_type string, direction int")
+    files = tiles.encode_files(t, "signals", merged=merged).cache()
+    assert files.count() == 2
+    read = lambda f: sorted((r.cell, r.osm_id, r.lat, r.lon, r.signal_type, r.direction is None, r.direction or 0) for r in tiles.decode_files(f, "signals").collect())
+    want = sorted((c, o, pytest.approx(a), pytest.approx(b), s, d is None, d or 0) for _, c, o, a, b, s, d in rows)
+    assert read(files) == want and read(files.unionByName(spark.createDataFrame([(9, None)], "file int, content binary"))) == want
+    for r in files.collect():
+        (tmp_path / f"S{r.file}.bin").write_bytes(bytes(r.content))
+    assert read(spark.read.format("binaryFile").load(str(tmp_path)).select("content")) == want
+    with pytest.raises(tiles.TileError):
+        tiles.plan_file(b"no tile file" * 40)
+    with pytest.raises(tiles.TileError):
+        tiles.schema_of("buildings")
