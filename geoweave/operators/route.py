@@ -1,8 +1,8 @@
 """Road graphs from line features, and routes over them.
 
 The graph is built with joins and aggregations: vertices become nodes by rounding, close nodes are merged as connected components of a
-grid self-join, parallel edges keep the least weight. Searching is sequential, so a route request runs as one task over the edges of its
-region (cogrouped by `region`, which a caller sets to a corridor or state); many requests run side by side.
+grid self-join, parallel edges keep the least weight. Searching is sequential: a task holds the edges of one region (`region`, which a
+caller sets to a corridor or state) and answers a share of its requests, those from one start in one search.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ OTHER_SPEED, OTHER_FOOT_SPEED = 15, 5.0
 #: Share of the limit driven, factor on highways, seconds per extra arm, node units per degree, merge distance, node budget.
 SPEED_FACTOR, HIGHWAY_FACTOR, ARM_S, NODE_UNITS, MERGE_UNITS, NODE_CAP = 0.85, 4.0, 12.0, 50_000, 5, 400_000
 SNAP_M = 100.0
+#: Tasks that share the requests of a region.
+SPLITS = 8
 
 
 def allowed(road_class: Column, profile: str = "driving", middle: Column | None = None) -> Column:
@@ -131,29 +133,42 @@ def key_lon(key):
     return ((key >> 32) - (1 << 30)) / NODE_UNITS
 
 
+class Adjacency:
+    """Edges by the node they leave, built once for all searches of a graph."""
+
+    def __init__(self, f: np.ndarray, t: np.ndarray, w: np.ndarray):
+        order = np.argsort(f, kind="stable")
+        nodes, first = np.unique(f[order], return_index=True)
+        self.t, self.w = t[order].tolist(), w[order].tolist()
+        self.span = dict(zip(nodes.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(f)])))
+
+    def search(self, source: int, targets: set[int]) -> dict[int, tuple[list[int], int]]:
+        """Nodes and weight of the least path to each target that can be reached (Dijkstra until the last one is settled)."""
+        best, back, heap, done, found, left = {source: 0}, {}, [(0, source)], set(), {}, set(targets)
+        t, w = self.t, self.w
+        while heap and left:
+            d, n = heapq.heappop(heap)
+            if n in done:
+                continue
+            done.add(n)
+            if n in left:
+                left.discard(n)
+                path = [n]
+                while path[-1] != source:
+                    path.append(back[path[-1]])
+                found[n] = path[::-1], d
+            a, b = self.span.get(n, (0, 0))
+            for k in range(a, b):
+                if d + w[k] < best.get(t[k], 1 << 62):
+                    best[t[k]] = d + w[k]
+                    back[t[k]] = n
+                    heapq.heappush(heap, (d + w[k], t[k]))
+        return found
+
+
 def shortest_path(f: np.ndarray, t: np.ndarray, w: np.ndarray, source: int, target: int) -> tuple[list[int], int] | None:
-    """Nodes and weight of the least path (Dijkstra over arrays sorted by f)."""
-    order = np.argsort(f, kind="stable")
-    f, t, w = f[order], t[order].tolist(), w[order].tolist()
-    starts = {int(n): (int(a), int(b)) for n, a, b in zip(*(lambda u, i: (u, i, np.append(i[1:], len(f))))(*np.unique(f, return_index=True)))} if len(f) else {}
-    best, back, heap, done = {source: 0}, {}, [(0, source)], set()
-    while heap:
-        d, n = heapq.heappop(heap)
-        if n in done:
-            continue
-        if n == target:
-            path = [n]
-            while path[-1] != source:
-                path.append(back[path[-1]])
-            return path[::-1], d
-        done.add(n)
-        a, b = starts.get(n, (0, 0))
-        for k in range(a, b):
-            if d + w[k] < best.get(t[k], 1 << 62):
-                best[t[k]] = d + w[k]
-                back[t[k]] = n
-                heapq.heappush(heap, (d + w[k], t[k]))
-    return None
+    """Nodes and weight of the least path."""
+    return Adjacency(f, t, w).search(source, {target}).get(target)
 
 
 def _haversine(lat1, lon1, lat2, lon2):
@@ -161,43 +176,59 @@ def _haversine(lat1, lon1, lat2, lon2):
     return 2 * geo.EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
+class Snapper:
+    """The nearest node within snap_m, the last of equals; only nodes of nearly the same latitude are measured."""
+
+    def __init__(self, nodes: np.ndarray, snap_m: float):
+        lat = key_lat(nodes)
+        order = np.argsort(lat, kind="stable")
+        self.nodes, self.lat, self.lon, self.place = nodes[order], lat[order], key_lon(nodes)[order], order
+        self.snap_m, self.reach = snap_m, 1.01 * snap_m / geo.METRES_PER_DEGREE
+
+    def __call__(self, lat: float, lon: float) -> int | None:
+        i, j = np.searchsorted(self.lat, [lat - self.reach, lat + self.reach])
+        if i == j:
+            return None
+        d = _haversine(lat, lon, self.lat[i:j], self.lon[i:j])
+        k = max(np.flatnonzero(d == d.min()), key=lambda x: self.place[i + x])
+        return int(self.nodes[i + k]) if d[k] <= self.snap_m else None
+
+
 def solve(requests: pd.DataFrame, edges: pd.DataFrame, snap_m: float = SNAP_M) -> pd.DataFrame:
-    """R10-R13 over one region: a row a request, with distance, duration, nodes or the reason why there is none."""
+    """R10-R13 over one region: a row a request, with distance, duration, nodes or the reason why there is none. Requests that start at
+    one node share a search."""
     f, t, w = (edges[c].to_numpy(np.int64) for c in ("f", "t", "weight"))
     nodes = np.unique(np.concatenate((f, t)))
-    lat, lon = key_lat(nodes), key_lon(nodes)
-    rows = []
+    rows, starts = [], {}
+    usable = "empty_graph" if len(nodes) == 0 else "node_budget_exceeded" if len(nodes) > NODE_CAP else None
+    snap = Snapper(nodes, snap_m)
     for r in requests.itertuples():
-        failure, path, weight, metres = None, [], None, None
-        if len(nodes) == 0:
-            failure = "empty_graph"
-        elif len(nodes) > NODE_CAP:
-            failure = "node_budget_exceeded"
+        ends = (None, None) if usable else (snap(r.lat1, r.lon1), snap(r.lat2, r.lon2))
+        if usable or None in ends:
+            rows.append((r.qid, usable or ("start_not_snapped" if ends[0] is None else "end_not_snapped"), None, None, []))
         else:
-            ends = []
-            for a, o in ((r.lat1, r.lon1), (r.lat2, r.lon2)):
-                d = _haversine(a, o, lat, lon)
-                k = len(d) - 1 - int(d[::-1].argmin())  # the last of equals
-                ends.append(int(nodes[k]) if d[k] <= snap_m else None)
-            if ends[0] is None or ends[1] is None:
-                failure = "start_not_snapped" if ends[0] is None else "end_not_snapped"
-            elif (found := shortest_path(f, t, w, *ends)) is None:
-                failure = "disconnected"
-            else:
-                path, weight = found
-                p = np.array(path)
-                metres = float(_haversine(key_lat(p[:-1]), key_lon(p[:-1]), key_lat(p[1:]), key_lon(p[1:])).sum())
-        rows.append((r.qid, failure, metres, None if weight is None else weight / 100, path))
+            starts.setdefault(ends[0], []).append((r.qid, ends[1]))
+    graph = Adjacency(f, t, w) if starts else None
+    for source, asked in starts.items():
+        found = graph.search(source, {target for _, target in asked})
+        for qid, target in asked:
+            path, weight = found.get(target, ([], None))
+            p = np.array(path, np.int64)
+            metres = None if weight is None else float(_haversine(key_lat(p[:-1]), key_lon(p[:-1]), key_lat(p[1:]), key_lon(p[1:])).sum())
+            rows.append((qid, "disconnected" if weight is None else None, metres, None if weight is None else weight / 100, path))
     return pd.DataFrame(rows, columns=["qid", "failure", "distance_m", "duration_s", "nodes"])
 
 
-def routes(requests: DataFrame, edges: DataFrame, snap_m: float = SNAP_M) -> DataFrame:
-    """Requests (region, qid, lat1, lon1, lat2, lon2) over edges (region, f, t, weight). Exact least weights."""
+def routes(requests: DataFrame, edges: DataFrame, snap_m: float = SNAP_M, splits: int = SPLITS) -> DataFrame:
+    """Requests (region, qid, lat1, lon1, lat2, lon2) over edges (region, f, t, weight). Exact least weights. A region's requests
+    are dealt by their start over `splits` tasks, each with the region's edges, so that no region waits for one task."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         return solve(a, b, snap_m)
 
-    return requests.groupBy("region").cogroup(edges.groupBy("region")).applyInPandas(run, "qid long, failure string, distance_m double, duration_s double, nodes array<long>")
+    asked = requests.withColumn("_split", F.pmod(F.xxhash64("lat1", "lon1"), F.lit(splits)).cast("int"))
+    held = edges.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return asked.groupBy("region", "_split").cogroup(held.groupBy("region", "_split")).applyInPandas(run, "qid long, failure string, distance_m double, duration_s double, nodes array<long>")
 
 
 def with_geometry(found: DataFrame, geometry: DataFrame) -> DataFrame:
