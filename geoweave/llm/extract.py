@@ -9,7 +9,7 @@ counted nor scored, words and tags alike. At most
 SAMPLE labelled pages (those with the least hashes of page_id) are counted; where none is labelled, the defaults stand.
 
 Inside the region, elements that are no content are left out: scripts, styles, menus, headers and footers, asides, controls; and, unless
-they hold over half of the other words (a form or a layout around the whole page), forms and elements whose class, id or role is the name
+they hold over half of the other words and no article stands apart from them (a form or a layout around the whole page), forms and elements whose class, id or role is the name
 of an advert, notice, sidebar, menu, share box or comment list. A name counts as a whole: `sidebar` does, `with-sidebar` does not.
 
 Text: character references decoded, white space inside a block made one space, trimmed, blocks joined in page order by two newlines. `br`
@@ -84,11 +84,13 @@ def hinted(name: str, attrs: str) -> bool:
 def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     """(kind, text, breaks, out): kind "w:<block>" for a run of text in a block, "t:<name>" for a tag.
 
-    breaks: a block border; out: in a left-out element. Those are told by their names; or, unless they hold over half of the words that
-    those of the first kind leave, by a class, id or role, or by being a form or an element without an end tag."""
+    breaks: a block border; out: in a left-out element. Those are told by their names; or by a class, id or role, or by being a form or an
+    element without an end tag, unless they hold over half of the words that those of the first kind leave and no article stands apart
+    from them."""
     seq: list[tuple[str, str, bool]] = []
     stack: list[tuple[str, int, int]] = []  # open elements: name, place, 2: left out by name, 1: hinted
     spans: list[tuple[int, int, bool]] = []  # of left-out candidates; whether that is certain
+    articles: list[tuple[int, int]] = []
     pos, block, end = 0, "", len(page)
 
     def close(depth: int, tagged: bool) -> None:
@@ -96,6 +98,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
         for k, (name, at, mark) in enumerate(stack[depth:]):
             if mark:
                 spans.append((at, len(seq), mark == 2 and tagged and not k and name != "form"))
+            elif name in CONTENT:
+                articles.append((at, len(seq)))
         del stack[depth:]
 
     while pos < end:
@@ -135,6 +139,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
     for k, (name, at, mark) in enumerate(stack):
         if mark:  # never closed: it ends where an article begins
             spans.append((at, next((i for i in starts if i > at), len(seq)), False))
+        elif name in CONTENT:
+            articles.append((at, len(seq)))
     if not spans:
         return [(*x, False) for x in seq]
     gone = np.zeros(len(seq) + 1, np.int64)
@@ -145,7 +151,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool]]:
             gone[b] -= 1
     held = np.concatenate(([0], np.cumsum(np.where(np.cumsum(gone[:-1]) > 0, 0, words))))
     for a, b, certain in spans:
-        if not certain and 2 * (held[b] - held[a]) <= held[-1]:
+        if not certain and (2 * (held[b] - held[a]) <= held[-1] or any(y <= a or x >= b for x, y in articles)):
             gone[a] += 1
             gone[b] -= 1
     return [(*x, out) for x, out in zip(seq, (np.cumsum(gone[:-1]) > 0).tolist())]

@@ -287,6 +287,10 @@ def test_extract_keeps_what_holds_most_words(attrs):
     assert extract.main_text(f"<body><div {attrs}>{ad}<p>{PARA}</p></div><footer>by us</footer></body>", {}) == PARA.strip()
 
 
+def test_a_long_advert_beside_a_short_article():
+    assert extract.main_text(f"<body><div class='ad'>{PARA}</div><article><p>Two words.</p></article><footer>x</footer></body>", {}) == "Two words."
+
+
 def test_extract_of_odd_pages():
     whole = PARA.strip()
     form = f"<body><form action='/'><p>{PARA}</p><label>Name <input></label><select><option>one<option>two</select><button>Go on</button></form></body>"
