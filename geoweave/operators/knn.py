@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions import geo
+from geoweave.session import checkpointed
 
 MARGIN = 1.01
 #: Cells of joins with lines and with areas are at least this wide: a feature lies in few of them, however small the radius.
@@ -198,10 +199,11 @@ def nearest_exact(queries: DataFrame, points: DataFrame, start_m: float, most_m:
     """The nearest point however far: rounds of growing radius, each for the queries that found none, until all have found one."""
     out, left, radius = None, queries.select("qid", "lat", "lon"), start_m
     while True:
-        found = nearest_point(left, points, radius)
+        best = F.min_by(F.struct("fid", "distance_m"), F.struct("distance_m", "fid"))
+        found = checkpointed(points_within(left, points, radius).groupBy("qid").agg(best.alias("b")).select("qid", "b.*"))
         out = found if out is None else out.unionByName(found)
         radius *= 4
-        left = left.join(found.select("qid"), "qid", "left_anti")
+        left = checkpointed(left.join(found.select("qid"), "qid", "left_anti"))
         if radius > most_m or left.isEmpty():
             return out
 
