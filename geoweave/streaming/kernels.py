@@ -41,7 +41,12 @@ def new_speed() -> dict:
 
 
 def smoothed(s: dict) -> float | None:
-    return sum(s["speeds"]) / len(s["speeds"]) if s["speeds"] else None
+    """The mean as a window of SQL takes it: added up in order. sum() carries the rounding along since Python 3.12, which moves speeds that
+    lie on the limit of a band."""
+    total = 0.0
+    for v in s["speeds"]:
+        total += v
+    return total / len(s["speeds"]) if s["speeds"] else None
 
 
 def band(v: float, rules: SpeedRules = SpeedRules()) -> str:
