@@ -28,11 +28,15 @@ def normalize_cell(cell: Column) -> Column:
 
 def state_of(queries: DataFrame, states: DataFrame) -> DataFrame:
     """The state (fid, lat0, lon0, lat1, lon1) whose box holds the point, the one with the nearest centre among several; if none holds
-    it, the nearest centre: qid, fid, inside. The states are a table of a few dozen rows, which Spark broadcasts by its own check."""
+    it, the nearest centre: qid, fid, inside. Centres may be given (mid_lat, mid_lon), for those whose last bit counts. The states are a table
+    of a few dozen rows, which Spark broadcasts by its own check."""
     q = queries.select("qid", "lat", "lon")
+    if "mid_lat" not in states.columns:
+        states = states.withColumns({"mid_lat": (F.col("lat0") + F.col("lat1")) / 2, "mid_lon": (F.col("lon0") + F.col("lon1")) / 2})
     pairs = q.join(states, F.lit(True))
     hit = F.col("lat").between(F.col("lat0"), F.col("lat1")) & F.col("lon").between(F.col("lon0"), F.col("lon1"))
-    d = F.pow(F.col("lat") - (F.col("lat0") + F.col("lat1")) / 2, 2) + F.pow(F.col("lon") - (F.col("lon0") + F.col("lon1")) / 2, 2)
+    dy, dx = F.col("lat") - F.col("mid_lat"), F.col("lon") - F.col("mid_lon")
+    d = dy * dy + dx * dx
     return pairs.groupBy("qid").agg(F.min_by("fid", F.struct(~hit, d, "fid")).alias("fid"), F.bool_or(hit).alias("inside"))
 
 

@@ -202,13 +202,18 @@ def c7_group_by_cell(spark, sf):
 
 #: The boxes of the nations, a table of a few dozen rows by its nature: neighbours overlap, and there are gaps and a rim outside.
 _STATES = "SELECT n_nationkey AS fid, 36.0 + (n_nationkey % 5) * 0.04 AS lat0, -87.0 + floor(n_nationkey / 5) * 0.06 AS lon0, 36.038 + (n_nationkey % 5) * 0.04 + (n_nationkey % 3) * 0.004 AS lat1, -86.943 + floor(n_nationkey / 5) * 0.06 + (n_nationkey % 2) * 0.005 AS lon1 FROM {nation}"
+#: The same boxes to the last bit: DuckDB's floor() makes the longitudes doubles from the start, while its latitudes and their sum are
+#: decimals until they meet a double. Fixes lie on borders, and as far from one centre as from another.
+_STATE_BOXES = """SELECT fid, CAST(a AS DOUBLE) AS lat0, c AS lon0, CAST(b AS DOUBLE) AS lat1, d AS lon1, CAST(a + b AS DOUBLE) / 2 AS mid_lat, (c + d) / 2 AS mid_lon FROM
+ (SELECT n_nationkey AS fid, 36.0 + (n_nationkey % 5) * 0.04 AS a, -87.0D + CAST(floor(n_nationkey / 5) AS DOUBLE) * 0.06D AS c, 36.038 + (n_nationkey % 5) * 0.04 + (n_nationkey % 3) * 0.004 AS b,
+   -86.943D + CAST(floor(n_nationkey / 5) AS DOUBLE) * 0.06D + CAST((n_nationkey % 2) * 0.005 AS DOUBLE) AS d FROM {nation})"""
 
 
 @query("c8_state_of", ctes("fix") + ", st AS (" + _STATES.format(nation="nation") + """),
  x AS (SELECT a.qid, b.fid, a.lat BETWEEN lat0 AND lat1 AND a.lon BETWEEN lon0 AND lon1 AS hit, pow(a.lat - (lat0 + lat1) / 2, 2) + pow(a.lon - (lon0 + lon1) / 2, 2) AS d FROM fix a, st b)
 SELECT qid, arg_min(fid, (NOT hit, d, fid)) AS fid, bool_or(hit) AS inside FROM x GROUP BY qid""")
 def c8_state_of(spark, sf):
-    states = spark.sql(_STATES, nation=spark.read.parquet(f"{sf}/nation.parquet")).selectExpr("fid", *(f"CAST({c} AS DOUBLE) AS {c}" for c in ("lat0", "lon0", "lat1", "lon1")))
+    states = spark.sql(_STATE_BOXES, nation=spark.read.parquet(f"{sf}/nation.parquet"))
     return cells.state_of(view(spark, sf, "fix"), states)
 
 

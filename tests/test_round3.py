@@ -24,3 +24,11 @@ def same_as_sql(spark, name, folder, *tables):
 def test_smoothed_speed_adds_up_in_order():
     speeds = [0.44, 0.7033333333333334, 0.51, 0.78, 0.06666666666666667]  # a hair over the limit in order, on it if rounding is carried along
     assert K.smoothed(K.new_speed() | {"speeds": speeds}) == 0.5000000000000001 and K.band(K.smoothed(K.new_speed() | {"speeds": speeds})) == "walking"
+
+
+def test_states_of_fixes_between_centres(spark, tmp_path):
+    """c8: fixes as far from one centre as from another, or on a border: the last bit of the boxes decides."""
+    ids = [2495549, 2781557, 2807148, 4359012, 7]
+    pq.write_table(pa.table({"event_id": ids, "user_id": [1] * 5, "value": [1.0] * 5}), tmp_path / "events.parquet")
+    pq.write_table(pq.read_table(f"{SF}/nation.parquet"), tmp_path / "nation.parquet")
+    same_as_sql(spark, "c8_state_of", tmp_path, "events", "nation")
