@@ -59,7 +59,7 @@ def nearest_address(queries: DataFrame, addresses: DataFrame, threshold_m: float
 
 def building_at(queries: DataFrame, buildings: DataFrame, near_m: float = CENTROID_M) -> DataFrame:
     """The first footprint in input order that contains the point, else the nearest centroid within near_m: qid, fid, inside."""
-    inside = knn.areas_near(queries, buildings, 1.0).filter("inside").groupBy("qid").agg(F.min("fid").alias("in_fid"))
+    inside = knn.areas_holding(queries, buildings).groupBy("qid").agg(F.min("fid").alias("in_fid"))
     mid = buildings.select("fid", geo.centroid("coords").alias("c")).select("fid", "c.lat", "c.lon")
     near = knn.nearest_point(queries, mid, near_m).select("qid", F.col("fid").alias("near_fid"))
     both = inside.join(near, "qid", "full_outer")

@@ -242,7 +242,7 @@ def g5_line_distance(spark, sf):
 
 @query("g6_point_in_polygon", ctes("box", "fix") + """SELECT b.fid, count(*) AS n FROM box b JOIN fix a ON a.lat >= lat0 AND a.lat < lat1 AND a.lon >= lon0 AND a.lon < lon1 GROUP BY b.fid""")
 def g6_point_in_polygon(spark, sf):
-    return knn.areas_near(view(spark, sf, "fix"), _ring(view(spark, sf, "box")), 1.0).filter("inside").groupBy("fid").agg(F.count("*").alias("n"))
+    return knn.areas_holding(view(spark, sf, "fix"), _ring(view(spark, sf, "box"))).groupBy("fid").agg(F.count("*").alias("n"))
 
 
 @query("g7_segment_crossing", ctes("seg") + """, x AS (SELECT a.fid, b.fid AS other, a.lon2 - a.lon1 AS rx, a.lat2 - a.lat1 AS ry, b.lon2 - b.lon1 AS sx, b.lat2 - b.lat1 AS sy,

@@ -1,11 +1,15 @@
 """Cases that larger tables brought up."""
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pyspark.sql import functions as F
+
 from geoweave import plans
+from geoweave.operators import knn, tilejoin
 from geoweave.streaming import kernels as K
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +36,37 @@ def test_states_of_fixes_between_centres(spark, tmp_path):
     pq.write_table(pa.table({"event_id": ids, "user_id": [1] * 5, "value": [1.0] * 5}), tmp_path / "events.parquet")
     pq.write_table(pq.read_table(f"{SF}/nation.parquet"), tmp_path / "nation.parquet")
     same_as_sql(spark, "c8_state_of", tmp_path, "events", "nation")
+
+
+def _dense(n, seed):
+    """Segments of 100 m in a square kilometre and queries among them."""
+    rng = np.random.default_rng(seed)
+    a, turn = rng.uniform(0, 0.009, (2, n)), rng.uniform(0, 6.3, n)
+    ends = (36 + a[0], a[1] - 87, 36 + a[0] + 0.0009 * np.sin(turn), a[1] - 87 + 0.0009 * np.cos(turn))
+    q = rng.uniform(0, 0.009, (2, n))
+    return 36 + q[0], q[1] - 87, ends
+
+
+def test_nearest_segment_looks_at_few_where_they_are_dense():
+    """Fifty metres around a query hold hundreds of segments: the search begins with what the density says."""
+    lat, lon, ends = _dense(4000, 1)
+    t = tilejoin.Segments(lat, lon, ends, 50.0)
+    looked = []
+    best, d = t.nearest(lambda q, f: looked.append(len(q)) or t.measure(q, f), 50.0)
+    every = np.array([t.measure(np.full(4000, i), np.arange(4000)) for i in range(0, 4000, 40)])
+    assert (best[::40] == every.argmin(1)).all() and (d[::40] == every.min(1)).all()
+    assert sum(looked) < 100 * len(lat)
+
+
+def test_pairs_of_a_tile_are_brute_force():
+    lat, lon, ends = _dense(300, 2)
+    every = np.array([tilejoin.segment_m(lat[i], lon[i], np.cos(np.radians(lat[i])), *ends) for i in range(300)])
+    t = tilejoin.Segments(lat, lon, ends, 80.0)
+    for m in (3.0, 80.0):
+        q, f, _ = t.within(t.measure, m)
+        assert sorted(zip(q, f)) == [tuple(x) for x in np.argwhere(every <= m)]
+
+
+def test_a_segment_is_dealt_to_few_tiles(spark):
+    s = spark.range(2000).selectExpr("36 + id / 2e4 AS lat1", "-87 + id / 2e4 AS lon1").withColumns({"lat2": F.col("lat1") + 0.001, "lon2": F.col("lon1") + 0.001})
+    assert s.select(F.explode(knn.tiles_reached("lat1", "lon1", "lat2", "lon2", 50.0, knn.TILE_M))).count() < 3 * 2000
