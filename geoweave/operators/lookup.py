@@ -103,8 +103,8 @@ def admin_at(queries: DataFrame, grid: DataFrame, dims: dict[str, DataFrame], ke
 
 
 def cameras_near_road(cameras: DataFrame, roads: DataFrame, radius_m: float) -> DataFrame:
-    """The cameras (fid, lat, lon) with any segment of the roads within the radius."""
-    near = knn.segments_within(cameras.withColumnRenamed("fid", "qid"), knn.segments(roads), radius_m).select(F.col("qid").alias("fid"))
+    """The cameras (fid, lat, lon) with any segment of the roads within the radius: those with a nearest one."""
+    near = knn.nearest_way(cameras.withColumnRenamed("fid", "qid"), roads, radius_m).select(F.col("qid").alias("fid"))
     return cameras.join(near, "fid", "left_semi")
 
 
