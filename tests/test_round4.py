@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 #: Lookups and the tile joins that each makes.
 TILES = {
     "e1_indoor_outdoor": 1,
+    "j3_nearest_trail": 1,
 }
 
 
