@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 TILES = {
     "e1_indoor_outdoor": 1,
     "j3_nearest_trail": 1,
+    "j5_park_at": 1,
 }
 
 
