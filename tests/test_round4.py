@@ -10,6 +10,7 @@ TILES = {
     "e1_indoor_outdoor": 1,
     "j3_nearest_trail": 1,
     "j5_park_at": 1,
+    "j6_water_at": 2,
 }
 
 
