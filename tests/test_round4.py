@@ -11,6 +11,7 @@ TILES = {
     "j3_nearest_trail": 1,
     "j5_park_at": 1,
     "j6_water_at": 2,
+    "j9_building_at": 2,
 }
 
 
