@@ -1,8 +1,12 @@
 """Plans and kernels of the lookups that grow with the square of the tables."""
 
+import random
+
 import pytest
 
 from geoweave import plans
+from geoweave.functions import geo
+from geoweave.operators import visibility
 
 SF = "/root/testdata/sf0.001"
 #: Lookups and the tile joins that each makes.
@@ -20,3 +24,35 @@ def test_lookups_join_by_tiles(spark, name):
     """Pairs are made and settled inside the tiles: a plan of this size fits the driver, and no table is multiplied by cells and ranked."""
     plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FlatMapCoGroupsInArrow") == TILES[name] and "Window" not in plan and len(plan) < 60_000
+
+
+def test_sight_lines_stay_in_their_tile(spark):
+    """v1: subject, camera and footprints meet in one tile join; the blocking footprint is that of every ring looked at one by one."""
+    rng = random.Random(7)
+    at = lambda: (36 + rng.random() / 300, -87 + rng.random() / 300)
+    subjects, cameras, boxes = [at() for _ in range(60)], [at() for _ in range(40)], [(*at(), 0.0001 + rng.random() / 4000) for _ in range(50)]
+    ring = lambda la, lo, w: [(lo, la), (lo + w, la), (lo + w, la + w), (lo, la + w), (lo, la)]
+    rings = [ring(*b) for b in boxes]
+    s = spark.createDataFrame([(i, *p) for i, p in enumerate(subjects)], "qid long, lat double, lon double")
+    c = spark.createDataFrame([(i, *p, "dome", None, None) for i, p in enumerate(cameras)], "fid long, lat double, lon double, camera_type string, direction double, angle double")
+    b = spark.createDataFrame([(k, [{"lon": x, "lat": y} for x, y in r], "house", float(k % 6)) for k, r in enumerate(rings)], f"fid long, coords {geo.COORDS}, building_type string, height_m double")
+    out = visibility.cameras_seeing(s, c, b, 150.0)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "Join" not in plan
+    got = {(r.qid, r.fid): r.blocked_by for r in out.collect()}
+    inside = lambda p, k: boxes[k][0] <= p[0] < boxes[k][0] + boxes[k][2] and boxes[k][1] <= p[1] < boxes[k][1] + boxes[k][2]
+
+    def cuts(p, q, k):
+        top = float(k % 6) or 10.0
+        for (ax, ay), (bx, by) in zip(rings[k], rings[k][1:]):
+            rx, ry, sx, sy, px, py = q[1] - p[1], q[0] - p[0], bx - ax, by - ay, ax - p[1], ay - p[0]
+            det = rx * sy - ry * sx
+            if det and 0 <= (t := (px * sy - py * sx) / det) <= 1 and 0 <= (px * ry - py * rx) / det <= 1 and top > visibility.sight_line_height(t):
+                return True
+        return False
+
+    assert len(got) > 300 and any(v is not None for v in got.values()) and None in got.values()
+    for (i, j), by in got.items():
+        p, q = cameras[j], subjects[i]
+        held = [k for k in range(50) if inside(q, k) and not inside(p, k)]
+        assert by == next(iter(held + [k for k in range(50) if cuts(p, q, k)]), None)
