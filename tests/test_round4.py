@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from geoweave import plans
 from geoweave.functions import geo
-from geoweave.operators import visibility
+from geoweave.operators import ev, knn, tilejoin, visibility
 
 SF = "/root/testdata/sf0.001"
 #: Lookups and the tile joins that each makes.
@@ -56,3 +57,37 @@ def test_sight_lines_stay_in_their_tile(spark):
         p, q = cameras[j], subjects[i]
         held = [k for k in range(50) if inside(q, k) and not inside(p, k)]
         assert by == next(iter(held + [k for k in range(50) if cuts(p, q, k)]), None)
+
+
+def test_chargers_of_a_place_are_projected_once(spark):
+    """ev2: by brute force; what leaves a tile is settled by path and place, chargers of one place share it."""
+    rng = random.Random(8)
+    paths = {p: [(36 + rng.random() / 50, -87 + rng.random() / 50) for _ in range(rng.randint(1, 6))] for p in range(40)}
+    places = [(36 + rng.random() / 50, -87 + rng.random() / 50) for _ in range(30)]
+    chargers = [(i, *places[i % 30]) for i in range(90)]
+    p = spark.createDataFrame([(k, i, *x) for k, v in paths.items() for i, x in enumerate(v)], "path_id long, i long, lat double, lon double")
+    c = spark.createDataFrame(chargers, "fid long, lat double, lon double")
+    out = ev.project_onto(p, c, 250.0)
+    assert "min_by" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.path_id, r.fid): (r.along_m, r.detour_m) for r in out.collect()}
+    want = {}
+    for k, v in paths.items():
+        for i, la, lo in chargers:
+            best, along = None, 0.0
+            for (a, b), (a2, b2) in zip(v, v[1:]):
+                x = np.array([a, b, a2, b2])[:, None]
+                t = tilejoin.Segments(np.array([la]), np.array([lo]), x, 250.0)
+                d, at = float(t.measure([0], [0])[0]), along + float(t.along([0], [0])[0])
+                best = (d, at) if best is None or d < best[0] else best
+                along += float(tilejoin.haversine_m(a, b, a2, b2))
+            if best and best[0] <= 250:
+                want[k, i] = best[::-1]
+    assert len(want) > 300 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+
+
+def test_a_place_with_many_paths_takes_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "HITS", 7)
+    segs = spark.range(100).selectExpr("id AS path_id", "0 AS segment", "0D AS along_m", "36D AS lat1", "-87D AS lon1", "36.001 + id / 1e6 AS lat2", "-87.001D AS lon2")
+    found = knn.paths_by(spark.createDataFrame([(1, 36.0, -87.0)], "qid long, lat double, lon double"), segs, 50.0).collect()
+    assert sorted(h.path_id for r in found for h in r.hits) == list(range(100)) and max(len(r.hits) for r in found) <= 7
