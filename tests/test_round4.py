@@ -91,3 +91,16 @@ def test_a_place_with_many_paths_takes_several_rows(spark, monkeypatch):
     segs = spark.range(100).selectExpr("id AS path_id", "0 AS segment", "0D AS along_m", "36D AS lat1", "-87D AS lon1", "36.001 + id / 1e6 AS lat2", "-87.001D AS lon2")
     found = knn.paths_by(spark.createDataFrame([(1, 36.0, -87.0)], "qid long, lat double, lon double"), segs, 50.0).collect()
     assert sorted(h.path_id for r in found for h in r.hits) == list(range(100)) and max(len(r.hits) for r in found) <= 7
+
+
+@pytest.mark.parametrize("lat0", [0.0, 36.0, -84.0])
+def test_few_distances_beyond_the_radius(lat0):
+    """j10: all pairs within the radius, and hardly a distance more is worked out."""
+    rng = np.random.default_rng(9)
+    wide = 0.01 / np.cos(np.radians(lat0))
+    lat, lon, p_lat, p_lon = lat0 + rng.random(800) / 100, rng.random(800) * wide, lat0 + rng.random(700) / 100, rng.random(700) * wide
+    t = tilejoin.Points(lat, lon, p_lat, p_lon, 150.0)
+    asked = []
+    q, f, _ = t.within(lambda q, f: asked.append(len(q)) or t.measure(q, f), 150.0)
+    every = np.argwhere(tilejoin.haversine_m(lat[:, None], lon[:, None], p_lat, p_lon) <= 150.0)
+    assert sorted(zip(q, f)) == [tuple(x) for x in every] and sum(asked) < 1.1 * len(every)
