@@ -18,6 +18,7 @@ TILES = {
     "j5_park_at": 1,
     "j6_water_at": 2,
     "j9_building_at": 2,
+    "j8_locate": 3,
 }
 
 
