@@ -19,6 +19,7 @@ TILES = {
     "j6_water_at": 2,
     "j9_building_at": 2,
     "j8_locate": 3,
+    "m8_road_context": 1,
 }
 
 
