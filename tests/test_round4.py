@@ -20,6 +20,7 @@ TILES = {
     "j9_building_at": 2,
     "j8_locate": 3,
     "m8_road_context": 1,
+    "j17_segment_context": 2,
 }
 
 
