@@ -21,6 +21,7 @@ TILES = {
     "j8_locate": 3,
     "m8_road_context": 1,
     "j17_segment_context": 2,
+    "j18_all_layers": 4,
 }
 
 
