@@ -22,6 +22,7 @@ TILES = {
     "m8_road_context": 1,
     "j17_segment_context": 2,
     "j18_all_layers": 4,
+    "g6_point_in_polygon": 1,
 }
 
 
