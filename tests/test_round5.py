@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geoweave import plans
-from geoweave.operators import horizon
+from geoweave.functions import geo
+from geoweave.operators import horizon, visibility
 from geoweave.operators.horizon import BINS, M_PER_DEGREE, NEAREST_M, PAVEMENT_M
 
 SF = "/root/testdata/sf0.001"
@@ -108,7 +110,25 @@ def test_the_sweep_of_many_observers_is_that_of_each(seed, monkeypatch):
 
 
 def test_viewsheds_stay_in_their_tile(spark):
-    """v3: observers and buildings meet in one tile join."""
-    for name, gathered in (("v3_viewshed", 0),):
+    """v3: observers and buildings meet in one tile join. v4: so do they, and a group's lists are put together after it."""
+    for name, gathered in (("v3_viewshed", 0), ("v4_viewshed_union", 1)):
         plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FlatMapCoGroupsInArrow") == 1 and plan.count("FlatMapGroupsInArrow") == gathered and "Join" not in plan and "Pandas" not in plan
+
+
+def test_groups_see_what_their_observers_see(spark):
+    """v4: the union of the viewsheds, over several tiles and with names, ties and nobody as groups."""
+    rings, _, _, lat, lon, eye = _town(4, 60, 80)
+    lat[40:], lon[40:] = lat[:40], lon[:40]
+    east = np.arange(80) % 4 * 0.1
+    b = [(k + 1000 * j, [{"lon": float(x + j * 0.1), "lat": float(y)} for x, y in r], ["house", "garage", "office"][k % 3], None if k % 4 else 20.0) for j in range(4) for k, r in enumerate(rings)]
+    buildings = spark.createDataFrame(b, f"fid long, coords {geo.COORDS}, building_type string, height_m double")
+    rows = [(i, None if i % 9 == 8 else f"g{i % 9}", float(lat[i]), float(lon[i] + east[i]), 1.7) for i in range(80)]
+    o = spark.createDataFrame(rows, "qid long, name string, lat double, lon double, eye_m double")
+    views = visibility.viewshed(o, buildings, 800.0).join(o.select("qid", "name"), "qid")
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = order(visibility.viewshed_union(views, "name"))
+    assert order(visibility.viewshed_of_groups(o, buildings, 800.0, "name")) == want
+    assert len(want) > 500 and {r[0] for r in want} >= {None, "g1"} and any(r[3] > 1 for r in want) and any(r[4] is None for r in want)
+    far = o.withColumn("lat", F.lit(-40.0))
+    assert visibility.viewshed_of_groups(far, buildings, 800.0, "name").count() == visibility.viewshed(far, buildings, 800.0).count() == 0
