@@ -220,6 +220,28 @@ def may_stop(path, along, power, usable, ahead_m: float) -> tuple[np.ndarray, np
     return order[kept], far[kept], last[kept]
 
 
+def first_apart(held, other, n: int, m: int, q, p) -> np.ndarray:
+    """Of pairs q (below n) and p (below m), the first area that holds q and not p (-1: none). held, other: pairs of a q and an area, a p and
+    an area, by area. Areas are compared 64 at a time, as the bits of a word of each q and each p, for the pairs that have found none."""
+    first, left = np.full(len(q), -1), np.flatnonzero(np.bincount(held[0], minlength=n)[q] > 0)
+    areas = np.unique(held[1])
+    for at in range(0, len(areas), 64):
+        if not len(left):
+            break
+        some, words = areas[at : at + 64], []
+        for (of, area), size in ((held, n), (other, m)):
+            word = np.zeros(size, np.uint64)
+            for b, (x, y) in enumerate(zip(np.searchsorted(area, some), np.searchsorted(area, some, "right"))):
+                word[of[x:y]] |= np.uint64(1 << b)
+            words.append(word)
+        apart = words[0][q[left]] & ~words[1][p[left]]
+        hit = apart != 0
+        apart = apart[hit]
+        first[left[hit]] = some[np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1))]
+        left = left[~hit]
+    return first
+
+
 class Points(Tile):
     def __init__(self, lat, lon, p_lat, p_lon, reach_m: float):
         super().__init__(lat, lon, (p_lat, p_lon, p_lat, p_lon), reach_m=reach_m)
@@ -271,12 +293,11 @@ class Rings(Tile):
             to = np.where(at == last, self.first[f[s]][k], at + 1)
             yield s, np.cumsum(n) - n, q[s][k], self.r_lat[at], self.r_lon[at], self.r_lat[to], self.r_lon[to]
 
-    def inside(self, q, f, at=None):
-        """Whether the areas hold the queries, or the points `at` (lat, lon) that belong to them."""
+    def inside(self, q, f):
+        """Whether the areas hold the queries."""
         out = np.zeros(len(q), bool)
-        of_lat, of_lon = at or (self.lat, self.lon)
         for s, begins, i, a_lat, a_lon, b_lat, b_lon in self._edges(q, f):
-            lat, lon = of_lat[i], of_lon[i]
+            lat, lon = self.lat[i], self.lon[i]
             spans = (a_lat > lat) != (b_lat > lat)
             with np.errstate(divide="ignore", invalid="ignore"):
                 hits = spans & (lon < (b_lon - a_lon) * (lat - a_lat) / np.where(spans, b_lat - a_lat, 1.0) + a_lon)
@@ -291,36 +312,46 @@ class Rings(Tile):
             out[s] = np.minimum.reduceat(np.where(np.isfinite(d), d, np.inf), begins)
         return out
 
-    def crossed(self, q, f, from_lat, from_lon, top, height):
-        """Whether the line to the query from its point crosses an edge of the area below its top; height(t): of the line, a fraction t of
-        the way (geo.crossing)."""
-        out = np.zeros(len(q), bool)
-        for s, begins, i, a_lat, a_lon, b_lat, b_lon in self._edges(q, f):
-            rx, ry, sx, sy = self.lon[i] - from_lon[i], self.lat[i] - from_lat[i], b_lon - a_lon, b_lat - a_lat
+    def edges(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """All edges that have a place, closing ones too: the area of each, and its ends."""
+        f, at = spread(self.first, self.n)
+        to = np.where(at == (self.first + self.n - 1)[f], self.first[f], at + 1)
+        ends = [self.r_lat[at], self.r_lon[at], self.r_lat[to], self.r_lon[to]]
+        real = np.isfinite(ends).all(0)
+        return f[real], [e[real] for e in ends]
+
+    def blocking(self, points: Rings, q, p, top, height, m: float) -> np.ndarray:
+        """For pairs of a query and a point (a query of `points`, over the same areas) within m of it, the area that blocks the line between:
+        the first that holds the query and not the point, else the first that the line crosses below its top (-1: none)."""
+        first = first_apart(self.held(), points.held(), len(self.lat), len(points.lat), q, p)
+        left = np.flatnonzero(first < 0)
+        if len(left):
+            first[left] = self.crossing(points.lat[p[left]], points.lon[p[left]], q[left], top, height, m)
+        return first
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs where the area holds the query, by area."""
+        none = np.zeros(0, np.int64)
+        q, f = (np.concatenate(x) for x in zip((none, none), *self.holding()))
+        by = np.argsort(f, kind="stable")
+        return q[by], f[by]
+
+    def crossing(self, from_lat, from_lon, q, top, height, m: float) -> np.ndarray:
+        """The first area that the line to a query from a point within m of it crosses below its top (-1: none); height(t): of the line, a
+        fraction t of the way (geo.crossing). Only the edges in reach of the query are looked at."""
+        none = np.iinfo(np.int64).max
+        cuts = np.full(len(q), none)
+        area, ends = self.edges()
+        to_lat, to_lon = self.lat[q], self.lon[q]
+        for i, e in Segments(to_lat, to_lon, ends, m).pairs(np.arange(len(q)), m):
+            a_lat, a_lon, b_lat, b_lon = (c[e] for c in ends)
+            rx, ry, sx, sy = to_lon[i] - from_lon[i], to_lat[i] - from_lat[i], b_lon - a_lon, b_lat - a_lat
             px, py, det = a_lon - from_lon[i], a_lat - from_lat[i], rx * sy - ry * sx
             with np.errstate(divide="ignore", invalid="ignore"):
                 t, u = (px * sy - py * sx) / det, (px * ry - py * rx) / det
-                hits = (det != 0) & np.isfinite(det) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1) & (np.repeat(top[f[s]], self.n[f[s]]) > height(t))
-            out[s] = np.logical_or.reduceat(hits, begins)
-        return out
-
-    def blocking(self, from_lat, from_lon, top, height, m: float) -> np.ndarray:
-        """For each query and a point within m of it, the area that blocks the line between: the first that holds the query and not the
-        point, else the first that the line crosses below its top (-1: none)."""
-        none = np.iinfo(np.int64).max
-        holds, cuts = np.full(len(self.lat), none), np.full(len(self.lat), none)
-        for q, f in self.pairs(np.arange(len(self.lat)), m):
-            lat, lon, c_lat, c_lon = self.lat[q], self.lon[q], from_lat[q], from_lon[q]
-            a_lat, a_lon, b_lat, b_lon = (c[f] for c in self.ends)
-            ok = (np.minimum(lat, c_lat) <= b_lat) & (np.maximum(lat, c_lat) >= a_lat) & (np.minimum(lon, c_lon) <= b_lon) & (np.maximum(lon, c_lon) >= a_lon)
-            q, f = q[ok], f[ok]
-            held = self.inside(q, f)
-            held[held] = ~self.inside(q[held], f[held], (from_lat, from_lon))
-            np.minimum.at(holds, q[held], f[held])
-            cut = self.crossed(q, f, from_lat, from_lon, top, height)
-            np.minimum.at(cuts, q[cut], f[cut])
-        first = np.where(holds < none, holds, cuts)
-        return np.where(first < none, first, -1)
+                hits = (det != 0) & np.isfinite(det) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1) & (top[area[e]] > height(t))
+            np.minimum.at(cuts, i[hits], area[e[hits]])
+        return np.where(cuts < none, cuts, -1)
 
     def holding(self):
         """Blocks of all pairs where the area holds the query."""
